@@ -350,15 +350,23 @@ def test_toxicity(spark, awkward):
 
 
 def test_nnpu_separates():
-    from lociframe.llm.toxicity import _sigmoid, nnpu
+    from lociframe.llm.toxicity import SURE, _sigmoid, lift, nnpu
 
     rng = np.random.default_rng(2)
     words = [b"w%d" % i for i in range(200)]
     plain = [set(rng.choice(words, 30)) for _ in range(900)]
     bad = [set(rng.choice(words, 30)) | {b"vile"} for _ in range(100)]
-    weights, bias = nnpu(bad[:50], plain[:450] + bad[50:], 0.1)
-    score = lambda s: _sigmoid(sum(weights.get(w, 0) for w in s) + bias)
-    assert all(score(s) > 0.5 for s in bad) and sum(score(s) > 0.5 for s in plain) < 10
+    positive, unlabelled = bad[:50], plain[:450] + bad[50:]
+    chosen = [w for w in [*words, b"vile"] if lift(sum(w in x for x in positive), sum(w in x for x in unlabelled), 50, 500) >= SURE]
+    index = {w: i for i, w in enumerate(chosen)}
+
+    def matrix(sets):
+        own = [[index[w] for w in sorted(x) if w in index] for x in sets]
+        return len(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], np.int64)
+
+    theta, bias = nnpu(matrix(positive), matrix(unlabelled), len(index), 0.1)
+    score = lambda x: _sigmoid(sum(theta[index[w]] for w in x if w in index) + bias)
+    assert all(score(x) > 0.5 for x in bad) and sum(score(x) > 0.5 for x in plain) < 10
 
 
 # 8 ------------------------------------------------------------------------------------------------
