@@ -8,8 +8,10 @@ one anchor with different contents, is brought into suffix order (to
 ``window`` bytes) within bounded units: neighbours that agree in all bytes
 have a factor of that length in common, and a window whose previous or next
 smaller position in suffix order lies in the same stretch repeats an earlier
-one. Anchors with very many different contents go window by window through a
-grouped aggregation instead, so no unit grows with the data.
+one. Anchors with very many different contents are refined instead by grouped
+aggregations: their windows are cut into parts by place around the anchor, and
+only where parts agree in the bytes that all their windows hold, but not
+wholly, are the parts cut further. So no unit grows with the data.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,10 @@ from lociframe.llm.common import fresh, read, texts, tune
 from lociframe.session import cut, table
 
 WINDOW, GRAM = 200, 64
-#: Contents of one anchor that a unit takes; anchors with more are aggregated by window.
+#: Contents of one anchor that a unit takes; anchors with more are refined in parts.
 UNIT = 400
+#: Parts into which a part's windows are cut.
+FAN = 6
 #: Bytes hashed at once; bytes of a text's segment (its windows start there).
 CHUNK, SEGMENT = 1_000_000, 4_000_000
 
@@ -247,19 +252,74 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 
     small = (fetched.where(F.col("contents") <= UNIT).repartition("h").sortWithinPartitions("h")
              .mapInArrow(order, "doc long, tk int, s int, e int"))
-    # anchors with more contents than a unit: their windows one by one, combined map-side
-    one = (fetched.where(F.col("contents") > UNIT)
-           .select("doc", "tk", "s", "copies", "content", F.explode(F.expr(f"sequence(0, octet_length(content) - {window})")).alias("o"))
-           .select("doc", "tk", (F.col("s") + F.col("o")).alias("s"), "copies", F.expr(f"substring(content, o + 1, {window})").alias("w"))
-           .withColumn("w", F.sha2("w", 256)))
-    met = one.groupBy("w").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tk", "s")).alias("f")).where("k > 1")
-    found = one.join(met, "w")
-    found = found.where(F.struct("doc", "tk", "s") != F.col("f")) if keep_first else found.where("copies = 1")
-    large = found.select("doc", "tk", "s", (F.col("s") + window).alias("e"))
+    large = _refined(fetched.where(F.col("contents") > UNIT), window, gram, keep_first)
     return (whole.unionByName(small).unionByName(large)
             .groupBy("doc", "tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
+def _part_widths(places: int) -> list:
+    """Windows of a part, level by level, down to 1."""
+    out = []
+    while not out or out[-1] > 1:
+        out.append(-(-(out[-1] if out else places) // FAN))
+    return out
+
+
+def _refined(contents: DataFrame, window: int, gram: int, keep_first: bool) -> DataFrame:
+    """(doc, tk, s, e) of repeated windows among (h, doc, tk, s, copies, content), of any number of contents an anchor.
+
+    Windows are numbered by where they start before the anchor. On each level a
+    part is so many neighbouring numbers; contents whose windows of a part are
+    all equal give a span each (but the first, with ``keep_first``) and go on
+    as one; parts that share what all windows of the part hold are cut into
+    smaller ones. On the last level a part is one window.
+    """
+    spark = contents.sparkSession
+    places = window - gram + 1
+    live = contents.select("h", "doc", "tk", "s", "copies", "content", F.lit(-1).alias("q"))
+    out = spark.createDataFrame([], "doc long, tk int, s int, e int")
+    names = ["key", "full", "h", "doc", "tk", "s", "copies", "content", "q"]
+    for width in _part_widths(places):
+        if live.isEmpty():
+            break
+
+        def parts(batches, width=width):
+            for b in batches:
+                rows: list = []
+                for h, doc, tk, s, copies, content, q in zip(*(b.column(i).to_pylist() for i in range(7))):
+                    q = places - 1 - anchor_of(content, h, gram) if q < 0 else q
+                    n = len(content) - window + 1
+                    for p in range(q // width, (q + n - 1) // width + 1):
+                        lo, hi = max(q, p * width), min(q + n, (p + 1) * width)
+                        core, piece = content[p * width + width - 1 - q: p * width + window - q], content[lo - q: hi - 1 - q + window]
+                        key = xxhash.xxh3_128_digest(b"%d %d " % (h, p) + core)
+                        rows.append((key, xxhash.xxh3_128_digest(b"%d " % lo + key + piece), h, doc, tk, s + lo - q, copies, piece, lo))
+                cols = list(zip(*rows)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+        cut_up = table(live.select("h", "doc", "tk", "s", "copies", "content", "q")
+                       .mapInArrow(parts, "key binary, full binary, h long, doc long, tk int, s int, copies long, content binary, q int"))
+        classes = cut_up.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "s", "h", "copies", "content", "q")).alias("first"))
+        same = classes.where("n > 1").select("key", "full", F.struct("first.doc", "first.tk", "first.s").alias("f"))
+        met = cut_up.join(same, ["key", "full"])
+        met = met.where(F.struct("doc", "tk", "s") != F.col("f")) if keep_first else met.where("copies = 1")
+        out = out.unionByName(met.select("doc", "tk", "s", (F.col("s") + F.octet_length("content")).alias("e")))
+        several = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        live = table(classes.join(several, "key", "left_semi").select("first.*"))
+    return out
+
+
+def anchor_of(content: bytes, h: int, gram: int) -> int:
+    """Where the gram of hash ``h`` first stands in ``content``."""
+    buf = np.frombuffer(content, np.uint8)
+    n = len(buf)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * _powers(_BASE, n), out=total[1:])
+    grams = _mix((total[gram:] - total[: n + 1 - gram]) * _powers(_BACK, n + 1 - gram))
+    return int(np.flatnonzero(grams == np.uint64(h & (2 ** 64 - 1)))[0])
+
+
 def merged(spans: list) -> list:
     """Disjoint, maximal spans in order."""
     out: list = []
