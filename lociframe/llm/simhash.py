@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.buckets import components, grouped, units
+from lociframe.llm.buckets import BLOCK, components, grouped, units
 from lociframe.llm.common import fresh, read, texts, tune
 from lociframe.operators.graph import connected_components
 from lociframe.session import cut
@@ -28,8 +28,9 @@ from lociframe.session import cut
 #: Fingerprints (smallest hashes) from which bit correlations and candidate counts are estimated; the plan only.
 SAMPLE = 2048
 MAX_PARTITIONS = 14
-#: Estimated microseconds of one key row and of one candidate comparison.
-KEY_US, PAIR_US = 4.0, 0.01
+#: Estimated microseconds of one key row and of one candidate comparison, with its share of the rows that a cut bucket repeats.
+KEY_US = 4.0
+PAIR_US = 0.01 + 2 * KEY_US / BLOCK
 SHINGLES_AT_ONCE = 50_000
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
