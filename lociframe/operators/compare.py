@@ -18,6 +18,8 @@ from lociframe.operators.overlap import overlap_join
 from lociframe.operators.selection import best
 
 MATCHES = "array<struct<i:int,j:int>>"
+#: Overlapping pairs: said again before exons are compared, as Spark may compare them for all pairs of a bin.
+_MET = "a_start <= b_end AND b_start <= a_end"
 
 
 def exon_matches(a: Column | str, b: Column | str, multi_least: int = 10, end_share: float = 0.0, mid_share: float = 0.8,
@@ -104,7 +106,7 @@ def relation(m: Column | str, n_a: Column, n_b: Column, strict: bool = False) ->
 def compared(a: DataFrame, b: DataFrame, need_run: bool = True, **rules) -> DataFrame:
     """Overlapping pairs (a_*, b_*) with exon ``matches``; pairs without any go, and with ``need_run``
     multi-exon pairs without two matches one step apart."""
-    both = overlap_join(a, b).withColumn("matches", exon_matches("a_exons", "b_exons", **rules)).where(F.size("matches") > 0)
+    both = overlap_join(a, b).withColumn("matches", F.when(F.expr(_MET), exon_matches("a_exons", "b_exons", **rules))).where(F.size("matches") > 0)
     if need_run:
         steps = _steps(F.col("matches"))
         least = lambda k: F.array_min(F.transform(steps, lambda d: d[k])) == 1
@@ -122,7 +124,7 @@ def annotate(reads: DataFrame, reference: DataFrame) -> DataFrame:
     multi = exon_matches("a_exons", "b_exons")
     alone = exon_matches("a_exons", "b_exons", single_least=100)
     single = (F.size("a_exons") == 1) | (F.size("b_exons") == 1)
-    both = overlap_join(reads, reference).withColumn("m", F.when(single, alone).otherwise(multi)).where(F.size("m") > 0)
+    both = overlap_join(reads, reference).withColumn("m", F.when(F.expr(_MET), F.when(single, alone).otherwise(multi))).where(F.size("m") > 0)
     rel = relation("m", F.size("a_exons"), F.size("b_exons"))
     both = both.withColumns({
         "full": ~single & rel["full"], "subset": ~single & (rel["subset"] > 0), "run": F.when(single, 1).otherwise(consecutive("m")), "n": F.size("m"),

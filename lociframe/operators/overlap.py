@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 16_384
+BIN = 1024
 #: Bins that a range touches at most on its level; each level's bins are so many times wider.
 WIDE, LEVELS = 8, 4
 

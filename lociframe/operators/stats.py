@@ -156,7 +156,7 @@ def position_bias(depths: DataFrame, tx: DataFrame, bins: int = 100) -> DataFram
     cut = hit.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins / F.col("n")), F.floor(F.col("hi") * bins / F.col("n")))))
     first, last = F.ceil(F.col("bin") * F.col("n") / bins), F.ceil((F.col("bin") + 1) * F.col("n") / bins) - 1
     part = F.greatest(F.lit(0), F.least(F.col("hi"), last) - F.greatest(F.col("lo"), first) + 1)
-    return (cut.groupBy("name", "n", "bin").agg(F.sum(part * F.col("depth")).alias("s"))
+    return (cut.where(part > 0).groupBy("name", "n", "bin").agg(F.sum(part * F.col("depth")).alias("s"))
             .select("name", F.col("bin").cast("int").alias("bin"), (F.col("s") / F.greatest(F.ceil((F.col("bin") + 1) * F.col("n") / bins) - F.ceil(F.col("bin") * F.col("n") / bins), F.lit(1))).alias("mean_depth")))
 
 
