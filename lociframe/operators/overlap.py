@@ -2,8 +2,10 @@
 
 Both sides are dealt into the bins that they touch; a pair meets in its first
 common bin only, so nothing is counted twice and no distinct is needed. Ranges
-that would touch more than ``WIDE`` bins are matched bin by bin of a coarser
-size, level by level, so a long range costs few rows.
+that would touch more than ``WIDE`` bins are matched in bins of a coarser
+size, level by level, so a long range costs few rows. A pair meets on the level
+of its longer range alone: coarse bins hold long ranges and their partners,
+never two short ones.
 """
 
 from __future__ import annotations
@@ -37,21 +39,23 @@ def overlap_join(a: DataFrame, b: DataFrame, a_prefix: str = "a_", b_prefix: str
     right = right.withColumns({"__s": F.greatest(F.col(f"{b_prefix}start") - padding, F.lit(1)) if padding else F.col(f"{b_prefix}start"),
                                "__e": F.col(f"{b_prefix}end") + padding})
 
-    def dealt(df, tag):
+    def dealt(df, tag, first):
         df = df.where("__s <= __e").withColumn("__own", _level(F.col("__e") - F.col("__s") + 1, bin_size))
-        # on its own level and on all coarser ones, where it touches two bins at most
-        df = df.withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(LEVELS - 1))))
+        # role 0: the left range is as long as its level asks; role 1: only the right one is. So short ranges meet on no coarse level.
+        at = lambda levels, role: F.transform(levels, lambda k: F.struct(k.alias("level"), F.lit(role).alias("role")))
+        own, above = F.array("__own"), F.when(F.col("__own") < LEVELS - 1, F.sequence(F.col("__own") + 1, F.lit(LEVELS - 1))).otherwise(F.array().cast("array<int>"))
+        roles = F.concat(at(own, 0), at(above, 1)) if first else F.concat(at(own, 0), at(above, 0), at(own, 1))
+        df = df.withColumn("__at", F.explode(roles)).withColumns({"__level": F.col("__at.level"), "__role": F.col("__at.role")})
         width = F.lit(bin_size).cast("long") * F.pow(F.lit(float(WIDE)), F.col("__level")).cast("long")
         df = df.withColumn("__w", width)
-        df = df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / F.col("__w")), F.floor(F.col("__e") / F.col("__w")))))
-        return df.withColumnsRenamed({c: f"{tag}{c}" for c in ("__s", "__e", "__own", "__level", "__w", "__bin")})
+        df = df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / F.col("__w")), F.floor(F.col("__e") / F.col("__w"))))).drop("__at", "__own")
+        return df.withColumnsRenamed({c: f"{tag}{c}" for c in ("__s", "__e", "__level", "__role", "__w", "__bin")})
 
-    x, y = dealt(left, "x"), dealt(right, "y")
-    test = (F.col("x__level") == F.col("y__level")) & (F.col("x__bin") == F.col("y__bin"))
+    x, y = dealt(left, "x", True), dealt(right, "y", False)
+    test = (F.col("x__level") == F.col("y__level")) & (F.col("x__role") == F.col("y__role")) & (F.col("x__bin") == F.col("y__bin"))
     for k in keys:
         test &= F.col(f"{a_prefix}{k}") == F.col(f"{b_prefix}{k}")
-    once = ((F.greatest("x__own", "y__own") == F.col("x__level"))
-            & (F.col("x__s") <= F.col("y__e")) & (F.col("y__s") <= F.col("x__e"))
+    once = ((F.col("x__s") <= F.col("y__e")) & (F.col("y__s") <= F.col("x__e"))
             & (F.floor(F.greatest("x__s", "y__s") / F.col("x__w")) == F.col("x__bin")))
     return x.join(y, test & once).select(*left.columns[:-2], *right.columns[:-2])
 
