@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.buckets import BLOCK, components, grouped, units
 from lociframe.llm.common import fresh, read, texts, tune
+from lociframe.llm.similar import labelled
 from lociframe.operators.graph import connected_components
 from lociframe.session import cut
 
@@ -228,19 +229,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
         "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-#: Five-word shingles of similarity 0.8 differ in 39 of 256 bits on average (cosine 0.89), in 10 of 64.
-STAGE = {"shingle": 5, "radius": 10, "words": 4, "verify": 42}
+#: The corpus pipeline's near-dedup: exact similarity of five-word shingle sets, 0.8 or more.
+STAGE = {"shingle": 5, "percent": 80}
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 10, words: int = 4, verify: int | None = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, null ids last.
 
-    All columns are kept. Of rows that agree in id and text one stays.
+    Two texts link when their sets of word shingles have a Jaccard similarity
+    of ``percent`` / 100 or more. All columns are kept. Of rows that agree in
+    id and text one stays.
     """
-    prints = cut(fingerprints(docs, shingle, words))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     k, h = fresh(docs, "__k"), fresh(docs, "__h")
-    stay = _labelled(prints, me, words, radius, verify).where(me == F.col("least")).select(
+    stay = labelled(docs, me, shingle, percent).where(me == F.col("least")).select(
         F.coalesce("doc_id", F.lit(-(2 ** 63))).alias(k), F.col("th").alias(h)).distinct()
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2 ** 63)))).withColumn(h, F.xxhash64("text"))
     return keyed.join(stay, [k, h], "left_semi").dropDuplicates([k, h]).select(*docs.columns)
