@@ -581,6 +581,12 @@ def graph_components(spark, sf):
     return graph.connected_components(e)
 
 
+@query()
+def graph_components_whole(spark, sf):
+    e = _t(spark, sf, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst"))
+    return graph.connected_components(e)
+
+
 def _tree(spark, sf):
     nation = _t(spark, sf, "nation").select(F.col("n_regionkey").cast("bigint").alias("src"), (F.col("n_nationkey") + 100).cast("bigint").alias("dst"))
     return nation.unionByName(_t(spark, sf, "customer").select((F.col("c_nationkey") + 100).cast("bigint").alias("src"), (F.col("c_custkey") + 1000).alias("dst")))
