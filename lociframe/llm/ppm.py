@@ -1,11 +1,12 @@
 """Language-model scores: prediction by partial matching over bytes, and a smoothed unigram base.
 
-The trie of byte contexts up to ``ORDER`` is counted over all training rows.
-A node stays when its share of the training bytes is ``LEAST_SHARE`` or more:
-shares of an order sum to one, so the model has at most 1 / LEAST_SHARE nodes
-an order at any corpus size, while every count covers all data. Escapes are
-estimated by the number of distinct symbols (method C) and symbols seen in a
-longer context are excluded from the shorter one.
+The trie of byte contexts up to ``ORDER`` is counted over all training rows
+and keeps every node. It is never in one place: a context lies in the shard of
+its last two bytes with all longer contexts that end in them, and only orders
+0 and 1 (65,536 pairs at most) go to every shard. Texts are cut into chunks; the
+distinct (ORDER + 1)-grams of a chunk visit their shards and come back with
+their probabilities. Escapes are estimated by the number of distinct symbols
+(method C) and symbols seen in a longer context are excluded from the shorter one.
 
 Words whose share is ``WORD_SHARE`` or more are scored from a dictionary of
 bounded size; all other words are joined with their exact counts.
@@ -21,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import fold, read, share, texts, tune
-from lociframe.session import cut
+from lociframe.session import cut, table
 
 ORDER = 5
-LEAST_SHARE = 1e-6
+#: Share of the training bytes below which a node is dropped: none is.
+LEAST_SHARE = 0.0
 WORD_SHARE = 4e-6
 FOLDS = 10
 #: Bytes and distinct words that a task counts before it passes them on.
 CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 300_000
+#: Rows from which a task scores the shards it holds.
+SHARD_ROWS = 1_000_000
 
 
 def tokens(text: bytes | None) -> list:
@@ -163,62 +167,132 @@ class Trie:
         return out
 
 
-def count_corpus(train: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, word, code, n): kind 0 tokens and kind 1 byte (order + 1)-grams of all rows of ``train``, summed."""
-    tune(train.sparkSession)
+def count_words(train: DataFrame) -> DataFrame:
+    """(word, c): the tokens of all rows of ``train``."""
 
     def run(batches):
-        held, held_bytes, words = [], 0, Counter()
-
-        def grams():
-            c, n = np.unique(codes_of(held, order)[0], return_counts=True)
-            held.clear()
-            for lo in range(0, len(c), 100_000):
-                k = len(c[lo: lo + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.binary()),
-                                                  pa.array(c[lo: lo + k].view(np.int64)), pa.array(n[lo: lo + k])], names=["kind", "word", "code", "n"])
+        words = Counter()
 
         def spelled():
             items = list(words.items())
             words.clear()
             for lo in range(0, len(items), 50_000):
                 part = items[lo: lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array([w for w, _ in part], pa.binary()),
-                                                  pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["kind", "word", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
 
         for b in batches:
             for t in texts(b.column(0)):
                 words.update(tokens(t))
-                held.append(t)
-                held_bytes += len(t or b"") + 6
-                if held_bytes > CHUNK_BYTES:
-                    yield from grams()
-                    held_bytes = 0
                 if len(words) > CHUNK_WORDS:
                     yield from spelled()
-        if held:
-            yield from grams()
         yield from spelled()
 
-    return (train.select("text").mapInArrow(run, "kind int, word binary, code long, n long")
-            .groupBy("kind", "word", "code").agg(F.sum("n").alias("n")))
+    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def fit(train: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, word_share: float = WORD_SHARE) -> tuple:
-    """(trie orders, words DataFrame, frequent words, N, V) of all rows of ``train``."""
-    counted = cut(count_corpus(train, order))
-    words = counted.where("kind = 0").select("word", F.col("n").alias("c"))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(w): c for w, c in words.where(F.col("c") >= F.lit(max(word_share * total, 1))).collect()}
-    level = counted.where("kind = 1").select("code", "n")
-    size = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    orders = []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = level.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        pdf = level.where(F.col("n") >= F.lit(max(least_share * size, 1))).toPandas()
-        orders.append((pdf["code"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)))
-    return orders[::-1], words, head, total, distinct
+def chunked(base: DataFrame, folds: int) -> DataFrame:
+    """``base`` (doc_id, text) with its fold and the number of a chunk of about ``CHUNK_BYTES``, written once."""
+    kind = base.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            out = []
+            for t in texts(b.column(1)):
+                size += len(t or b"") + 6
+                if size > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "text", "train", "chunk"])
+
+    return table(base.withColumn("train", fold("doc_id", folds) != 0).mapInArrow(run, f"doc_id {kind}, text string, train boolean, chunk long"))
+
+
+def grams(rows: DataFrame, order: int) -> DataFrame:
+    """(key, chunk, code, n): the distinct grams of each chunk with their count in training rows, and their shard's key."""
+
+    def run(batches):
+        held, train, size, last = [], [], 0, None
+
+        def counted():
+            code, lengths = codes_of(held, order)
+            c, inverse = np.unique(code, return_inverse=True)
+            n = np.bincount(inverse.reshape(-1), np.repeat(np.array(train, np.float64), lengths), len(c)).astype(np.int64)
+            held.clear()
+            train.clear()
+            for lo in range(0, len(c), 100_000):
+                x = c[lo: lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(((x >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(np.full(len(x), last)),
+                                                  pa.array(x.view(np.int64)), pa.array(n[lo: lo + 100_000])], names=["key", "chunk", "code", "n"])
+
+        for b in batches:
+            for t, own, chunk in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if held and (chunk != last or size > CHUNK_BYTES):
+                    yield from counted()
+                    size = 0
+                last = chunk
+                held.append(t)
+                train.append(own)
+                size += len(t or b"") + 6
+        if held:
+            yield from counted()
+
+    return rows.select("text", "train", "chunk").mapInArrow(run, "key int, chunk long, code long, n long")
+
+
+def _marginal(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple:
+    """Pairs of order ``k`` and their counts."""
+    c, inverse = np.unique(codes & _mask(k + 1), return_inverse=True)
+    return c, np.bincount(inverse.reshape(-1), counts, len(c)).astype(np.int64)
+
+
+def probabilities(met: DataFrame, order: int, least_share: float) -> DataFrame:
+    """(chunk, code, logp) for each gram of each chunk, from the counts of all chunks."""
+    low = met.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).toPandas()
+    codes, counts = low["code"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64)
+    least = max(least_share * int(counts.sum()), 1)
+    load = share(met.sparkSession, (codes, counts))
+
+    def keep(pair):
+        return tuple(x[pair[1] >= least] for x in pair)
+
+    def run(batches):
+        lows, low_counts = load()
+        base = [keep(_marginal(lows, low_counts, k)) for k in range(min(order, 1) + 1)]
+
+        def scored(t):
+            chunk, code, n = (t.column(i).to_numpy() for i in range(1, 4))
+            c, inverse = np.unique(code.view(np.uint64), return_inverse=True)
+            inverse = inverse.reshape(-1)
+            if len(base[0][0]):
+                total = np.bincount(inverse, n, len(c)).astype(np.int64)
+                own, total = c[total > 0], total[total > 0]
+                trie = Trie([*base, *(keep(_marginal(own, total, k)) for k in range(2, order + 1))])
+                logp = np.concatenate([trie.log10(c[i: i + 500_000]) for i in range(0, len(c), 500_000)])
+            else:
+                logp = np.full(len(c), -np.log10(256))
+            out = pa.table([chunk, code, logp[inverse]], names=["chunk", "code", "logp"])
+            yield from out.to_batches(max_chunksize=100_000)
+
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            key = b.column(0).to_numpy()
+            # a shard is scored when all its rows are there
+            if size >= SHARD_ROWS and (key[0] != key[-1] or len(held) > 1 and held[-2].column(0)[-1].as_py() != key[0]):
+                at = int(np.searchsorted(key, key[-1]))
+                t = pa.Table.from_batches([*held[:-1], b.slice(0, at)])
+                held, size = [b.slice(at)], b.num_rows - at
+                yield from scored(t)
+        if held:
+            yield from scored(pa.Table.from_batches(held))
+
+    return met.repartition("key").sortWithinPartitions("key").select("key", "chunk", "code", "n").mapInArrow(run, "chunk long, code long, logp double")
 
 
 def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, least_share: float = LEAST_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
@@ -231,27 +305,35 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, least_sha
     """
     spark = docs.sparkSession
     tune(spark)
-    base = docs.select("doc_id", "text")
-    orders, words, head, total, distinct = fit(base.where(fold("doc_id", folds) != 0), order, least_share, word_share)
+    rows = chunked(docs.select("doc_id", "text"), folds)
+    words = cut(count_words(rows.where("train")))
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head = {bytes(w): c for w, c in words.where(F.col("c") >= F.lit(max(word_share * total, 1))).collect()}
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
-    load = share(spark, (orders, head))
-    kind = base.schema["doc_id"].dataType.simpleString()
+    load = share(spark, head)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known_grams = probabilities(table(grams(rows, order)), order, least_share)
+
+    def scored_texts(left, right):
+        code, logp = right.column("code").to_numpy().view(np.uint64), right.column("logp").to_numpy()
+        sort = np.argsort(code)
+        code, logp = code[sort], logp[sort]
+        held, score = texts(left.column("text").combine_chunks()), []
+        for lo in range(0, len(held), 200):
+            own, lengths = codes_of(held[lo: lo + 200], order)
+            # long texts are scored in slices of bounded size
+            p = np.concatenate([logp[np.searchsorted(code, own[i: i + 2_000_000])] for i in range(0, len(own), 2_000_000)])
+            score.append(np.add.reduceat(p, np.cumsum(lengths) - lengths))
+        return left.select(["doc_id", "text"]).append_column("score", pa.array(np.concatenate(score) if score else np.zeros(0)))
+
+    with_score = rows.groupBy("chunk").cogroup(known_grams.groupBy("chunk")).applyInArrow(scored_texts, f"doc_id {kind}, text string, score double")
 
     def run(batches):
-        grams, known = load()
-        trie = Trie(grams) if len(grams[0][0]) else None
-        logs = {w: float(np.log10(c + 0.1)) for w, c in known.items()}
+        logs = {w: float(np.log10(c + 0.1)) for w, c in load().items()}
         names = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
         for b in batches:
             rows = texts(b.column(1))
-            n, seen, sums, tails, score = [], [], [], [], []
-            for lo in range(0, len(rows), 200):
-                part = rows[lo: lo + 200]
-                code, lengths = codes_of(part, order)
-                # long texts are scored in slices of bounded size
-                logp = (np.concatenate([trie.log10(code[i: i + 2_000_000]) for i in range(0, len(code), 2_000_000)])
-                        if trie else np.full(len(code), -np.log10(256)))
-                score.append(np.add.reduceat(logp, np.cumsum(lengths) - lengths))
+            n, seen, sums, tails = [], [], [], []
             for t in rows:
                 ts = tokens(t)
                 rare, s, k = Counter(), 0.0, 0
@@ -268,10 +350,9 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, least_sha
                 tails.append([{"w": w, "c": c} for w, c in rare.items()])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()),
-                 pa.array(np.concatenate(score) if score else np.zeros(0)),
-                 pa.array(tails, pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())])))], names=names)
+                 b.column(2), pa.array(tails, pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())])))], names=names)
 
-    scored = cut(base.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<w:binary,c:long>>")
+    scored = cut(with_score.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<w:binary,c:long>>")
                  ).withColumn("row", F.monotonically_increasing_id())
     rare = (scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.w").alias("word"), F.col("t.c").alias("k"))
             .join(words, "word", "left")
