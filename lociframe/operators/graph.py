@@ -125,7 +125,7 @@ def _least_along(edges: DataFrame, src: str, dst: str) -> DataFrame:
             return low
 
 
-def paths(edges: DataFrame, start: DataFrame, max_length: int = 20) -> DataFrame:
+def paths(edges: DataFrame, start: DataFrame, max_length: int = 1000) -> DataFrame:
     """(path): all directed paths without a repeated node from start nodes to nodes without a way on."""
     step = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
     cur = start.select(F.array("node").alias("path"))
@@ -138,4 +138,6 @@ def paths(edges: DataFrame, start: DataFrame, max_length: int = 20) -> DataFrame
         cur = cut(grown.where("__go").select(F.concat("path", F.array("__d")).alias("path")))
         if cur.isEmpty():
             break
+    else:
+        raise RuntimeError("paths are longer than max_length")
     return done

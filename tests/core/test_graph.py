@@ -25,3 +25,15 @@ def test_components_of_all_items(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.node: r.component for r in QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
     assert got == union_find([(2 * p, 2 * o + 1) for o, p, _ in items])
+
+
+def test_paths_are_whole_or_refused(spark):
+    import pytest
+
+    from lociframe.operators.graph import paths
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(22)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert [r.path for r in paths(edges, start).collect()] == [list(range(23))]
+    with pytest.raises(RuntimeError):
+        paths(edges, start, max_length=3)
