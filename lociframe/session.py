@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables that are still there, and the tables' own paths.
+_written: dict = {}
+_paths: WeakKeyDictionary = WeakKeyDictionary()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``; a folder of our own only where unset (tests)."""
@@ -27,8 +33,35 @@ def table(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     For results that several branches scan and that are too wide for a
-    checkpoint's row format. The folder is removed by ``forget``.
+    checkpoint's row format. ``forget`` removes the folder; what is still there
+    when the driver ends is removed then.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_forget_all)
+    _written[path] = spark
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove what ``table`` wrote; all that reads it must have been materialised."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _remove(_written.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _forget_all() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+    _written.clear()
