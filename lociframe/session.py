@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
+from tempfile import TemporaryDirectory
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders of tables that are still there, and the tables' own paths.
 _written: dict = {}
 _paths: WeakKeyDictionary = WeakKeyDictionary()
+#: The folder of a local session that names none.
+_own: TemporaryDirectory | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a folder of our own only where unset (tests)."""
+    """The shared folder in ``spark.checkpoint.dir``; a folder of our own only where unset and all runs in this process (tests)."""
+    global _own
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if _own is None:
+            _own = TemporaryDirectory(prefix="checkpoints-")
+        where = _own.name
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -55,6 +64,15 @@ def forget(*tables: DataFrame) -> None:
             _remove(_written.pop(path), path)
 
 
+@contextmanager
+def scratch():
+    """Tables that are written inside are removed at its end; what leaves it must have been materialised."""
+    before = set(_written)
+    yield
+    for path in set(_written) - before:
+        _remove(_written.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
