@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column) -> Column:
+    """``c`` as the only row of a generator: what is computed from it later reads its value, where a plain projection would be copied into each use."""
+    return F.explode(F.array(c))
+
+
 def rc(seq: Column | str) -> Column:
     """Reverse complement; characters without a complement stay."""
     return F.reverse(F.translate(col(seq), BASES, COMPLEMENTS))

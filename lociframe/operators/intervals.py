@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Bases of a sweep's bin.
 BIN = 65_536
+#: Type in which real weights are summed.
+EXACT = "decimal(38,15)"
 
 
 def sound(ranges: DataFrame) -> DataFrame:
@@ -33,10 +35,15 @@ def _carry(rows: DataFrame, keys: list, value: Column, total, before: str) -> Da
 def coverage(ranges: DataFrame, keys: tuple = ("chr",), weight: str | None = None, bin_size: int = BIN) -> DataFrame:
     """Maximal runs of equal, non-zero depth: (*keys, start, end, depth).
 
-    Depth is the number of ranges, or the sum of ``weight``, at each base.
+    Depth is the number of ranges, or the sum of ``weight``, at each base. Real
+    weights are summed as decimals of 15 places, so that what opens and closes
+    cancels to nothing and equal sums are equal.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1).cast("long")
+    real = bool(weight) and ranges.schema[weight].dataType.typeName() in ("float", "double")
+    if real:
+        w = w.cast(EXACT)
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), w.alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-w).alias("d"))))
     events = (sound(ranges).select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
               .where("d != 0").withColumn("bin", F.floor(F.col("pos") / F.lit(bin_size)).cast("long")))
@@ -48,7 +55,7 @@ def coverage(ranges: DataFrame, keys: tuple = ("chr",), weight: str | None = Non
     return (events.join(bins, [*keys, "bin"])
             .withColumn("depth", F.col("__before") + F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("end", F.coalesce(F.lead("pos").over(own), F.col("__after")) - 1)
-            .where("depth != 0 AND end IS NOT NULL").select(*keys, F.col("pos").alias("start"), "end", "depth"))
+            .where("depth != 0 AND end IS NOT NULL").select(*keys, F.col("pos").alias("start"), "end", (F.col("depth").cast("double") if real else F.col("depth")).alias("depth")))
 
 
 def islands(ranges: DataFrame, gap: int = 0, keys: tuple = ("chr",), bin_size: int = BIN) -> DataFrame:

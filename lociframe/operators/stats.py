@@ -24,10 +24,12 @@ def _cumulative(counts: DataFrame, value: str, amount: str, keys: list, descendi
     Values are cut into ranges by quantiles, each range is summed on its own
     and starts from a prefix over ranges: the whole is never one task.
     """
-    cuts = counts.stat.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    edges = sorted(set(cuts))
-    bucket = F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value)))
-    rows = counts.withColumn("__b", -bucket if descending else bucket)
+    every = list(counts.columns)
+    edges = counts.agg(F.array_distinct(F.approx_percentile(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))).alias("__edges"))
+    # one row, of as many numbers as there are buckets
+    cut_up = counts.crossJoin(F.broadcast(edges))
+    bucket = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
+    rows = cut_up.withColumn("__b", -bucket if descending else bucket).select(*every, "__b")
     sums = rows.groupBy(*keys, "__b").agg(F.sum(amount).alias("__own"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
     sums = sums.withColumn("__before", F.coalesce(F.sum("__own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -100,17 +102,12 @@ def strata(depths: DataFrame, least: int = 50, jitter: float = 0.0, seed: int =
         depth = depth + jitter * (F.pmod(F.xxhash64(F.lit(seed), "chr", "start"), F.lit(1_000_003)) / 1_000_003)
     rows = depths.select("chr", "start", "end", depth.alias("d"))
     by = rows.groupBy("d").agg(F.sum(F.col("end") - F.col("start") + 1).alias("bases"))
-    total = by.agg(F.coalesce(F.sum("bases"), F.lit(0))).first()[0]
-    limits, c, k = [], least, 0
-    while c < total:
-        limits.append(c)
-        c, k = c * (2 if k % 2 else 5), k + 1
-    limits.append(total)
-    n = len(limits)
-    label = F.lit(1)
-    for i in reversed(range(n - 1)):
-        label = F.when(F.col("upto") <= limits[i], n - i).otherwise(label)
-    named = _cumulative(by, "d", "bases", [], descending=True).select("d", label.alias("strata"))
+    ladder, c = [], least
+    while c < 1 << 62:
+        ladder.append(c)
+        c *= 2 if len(ladder) % 2 == 0 else 5
+    below = lambda x: F.size(F.filter(F.array(*map(F.lit, ladder)), lambda limit: limit < F.col(x)))
+    named = _cumulative(by, "d", "bases", [], descending=True).select("d", (below("total") + 1 - below("upto")).alias("strata"))
     return merge_runs(rows.join(named, "d").select("chr", "start", "end", "strata"), "strata")
 
 
@@ -124,14 +121,25 @@ def equal_strata(depths: DataFrame, n: int) -> DataFrame:
 def rarefaction(reads: DataFrame, label: str, read: str, sizes: list, trials: int = 20, least: int = 1, seed: int = 1) -> DataFrame:
     """(size, found): mean number of distinct labels with ``least`` reads or more among ``size`` reads drawn, over ``trials`` draws.
 
-    In each trial reads are ordered by a seeded hash; thresholds of the hash
-    that cut at the wanted sizes come from a histogram of its leading bits.
+    In each trial reads are ordered by a seeded hash and the first ``size`` are
+    drawn. A histogram of the hash's leading bits finds the bucket where a draw
+    ends; only that bucket is ordered.
     """
-    total = reads.count()
-    drawn = reads.select(label, F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), F.col(read).alias("__r"))
-    drawn = drawn.withColumn("__u", F.pmod(F.xxhash64(F.lit(seed), "trial", "__r"), F.lit(1 << 52)) / float(1 << 52))
-    wanted = F.broadcast(reads.sparkSession.createDataFrame([(s, min(1.0, s / max(total, 1))) for s in sizes], "size long, share double"))
-    hit = drawn.join(wanted, F.col("__u") < F.col("share")).groupBy("size", "trial", label).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    spark = reads.sparkSession
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "trial", "__r").cast("binary")), 1, 13), 16, 10).cast("long")
+    drawn = (reads.select(F.col(label).alias("__l"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), F.col(read).cast("string").alias("__r"))
+             .withColumn("u", hashed).withColumn("b", F.shiftright("u", 36)))
+    counts = drawn.groupBy("trial", "b").agg(F.count("*").alias("n"))
+    # 65,536 buckets a trial at most
+    before = Window.partitionBy("trial").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in sorted(set(sizes))], "size long"))
+    # buckets that a draw takes whole or in part, with what is left to take
+    taken = counts.join(wanted, F.col("before") < F.col("size")).select("trial", "b", "size", "n", (F.col("size") - F.col("before")).alias("left"))
+    some = drawn.join(taken, ["trial", "b"])
+    rank = F.row_number().over(Window.partitionBy("trial", "size", "b").orderBy("u", "__r", "__l"))
+    part = some.where("left < n").withColumn("rank", rank).where("rank <= left").drop("rank")
+    hit = some.where("left >= n").unionByName(part).groupBy("size", "trial", "__l").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
     per = hit.groupBy("size", "trial").agg(F.count("*").alias("__k"))
     return per.groupBy("size").agg(F.floor(F.sum("__k") / F.lit(trials)).cast("long").alias("found"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lociframe.functions import ranges as R
 from lociframe.functions import sequence as S
@@ -98,6 +99,17 @@ def weighted_coverage(spark, sf):
     return intervals.coverage(items(spark, sf), weight="qty")
 
 
+@query(f"""WITH iv AS (SELECT l_linestatus AS chr, l_orderkey * 16 + l_linenumber AS s, l_orderkey * 16 + l_linenumber + CAST(l_quantity AS BIGINT) - 1 AS e,
+    CAST(l_extendedprice / 7000.0 AS DECIMAL(38, 15)) AS w FROM lineitem), b AS (SELECT chr, unnest(range(s, e + 1)) AS p, w FROM iv),
+  d AS (SELECT chr, p, sum(w) AS depth FROM b GROUP BY chr, p), r AS (""" + _RUNS.format(v=", any_value(depth) AS depth", k=", depth", t="d") + """)
+  SELECT chr, "start", "end", round(depth::DOUBLE, 6) AS depth FROM r""")
+def fractional_coverage(spark, sf):
+    price = _t(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("chr"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("start"),
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber") + F.col("l_quantity").cast("bigint") - 1).alias("end"), (F.col("l_extendedprice").cast("double") / 7000.0).alias("w"))
+    return intervals.coverage(price, weight="w").withColumn("depth", F.round("depth", 6))
+
+
 @query(f"WITH {IV}, " + _chains("iv", 1))
 def merge_ranges(spark, sf):
     return intervals.merge(items(spark, sf))
@@ -305,6 +317,19 @@ def vcf_lines(spark, sf):
     return text.parse_vcf(lines).select("chrom", "pos", F.col("info")["DP"].alias("dp"), F.col("qual").cast("bigint").alias("qual"))
 
 
+@query("""SELECT 'o' || o_orderkey AS name, o_custkey::VARCHAR AS sam, o_custkey::VARCHAR AS vcf, o_custkey::VARCHAR AS gff FROM orders""")
+def repeated_keys(spark, sf):
+    """Odd lines that give a key twice: the last value stays."""
+    o = _t(spark, sf, "orders")
+    name = F.concat(F.lit("o"), "o_orderkey")
+    sam = text.parse_sam(o.select(F.concat_ws("\t", name, *map(F.lit, "0 c 1 9 1M * 0 0 A I".split()), F.lit("NH:i:0"), F.lit("XX:Z:a"), F.concat(F.lit("NH:i:"), "o_custkey")).alias("value")))
+    vcf = text.parse_vcf(o.select(F.concat_ws("\t", F.lit("c"), F.lit("1"), name, *map(F.lit, "A C 9 PASS".split()), F.concat(F.lit("DP=0;DB;DP="), "o_custkey")).alias("value")))
+    gff = text.parse_gff3(o.select(F.concat_ws("\t", F.lit("c"), *map(F.lit, "s gene 1 9 . + .".split()), F.concat(F.lit("ID="), name, F.lit(";n=0;n="), "o_custkey")).alias("value")))
+    return (sam.select(F.col("qname").alias("name"), F.col("tags")["NH"]["value"].alias("sam"))
+            .join(vcf.select(F.col("id").alias("name"), F.col("info")["DP"].alias("vcf")), "name")
+            .join(gff.select(F.col("attribute")["ID"].alias("name"), F.col("attribute")["n"].alias("gff")), "name"))
+
+
 # transcripts ----------------------------------------------------------------------------------------
 
 @query(f"""WITH {EXONS}, g AS (SELECT *, s - lag(e) OVER (PARTITION BY id ORDER BY s) - 1 AS gap FROM x),
@@ -402,14 +427,17 @@ def distinct_layouts(spark, sf):
     return assembly.layouts(transcripts(spark, sf)).select("name", "chr", "strand", "support")
 
 
-@query("""WITH d AS (SELECT doc_id, substr(upper(regexp_replace(text, '[^A-Za-z]', 'N', 'g')), 11, 40) AS s FROM documents WHERE len(text) >= 50)
-  SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN s ELSE reverse(translate(s, 'ACTGUNXactgunx', 'TGACANXtgacanx')) END) AS seq FROM d""")
+@query("""WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', 'N', 'g')) AS t, len(text) AS n FROM documents WHERE len(text) > 0),
+  e AS (SELECT doc_id, CASE WHEN n < 3 THEN t ELSE substr(t, 1, (n // 3)::INT) || substr(t, (n // 2 + 1)::INT, (n - n // 2)::INT) END AS s FROM d)
+  SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN s ELSE reverse(translate(s, 'ACTGUNXactgunx', 'TGACANXtgacanx')) END) AS seq FROM e""")
 def fetched_sequences(spark, sf):
-    docs = _t(spark, sf, "documents").where("length(text) >= 50")
+    """Two exons of each whole text: its first third and its second half; a text under 3 characters is one exon."""
+    docs = _t(spark, sf, "documents").where("length(text) > 0")
     seqs = docs.select(F.col("doc_id").cast("string").alias("name"), F.regexp_replace("text", "[^A-Za-z]", "N").alias("seq"))
-    exon = F.array(F.struct(F.lit(11).cast("bigint").alias("start"), F.lit(25).cast("bigint").alias("end")), F.struct(F.lit(26).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end")))
-    tx = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").cast("string").alias("chr"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), exon.alias("exons"))
-    return genome.spliced(tx, genome.chunked(seqs, 20), 20).select(F.col("name").cast("bigint").alias("doc_id"), F.md5("seq").alias("seq"))
+    n, exon = F.length("text").cast("bigint"), lambda a, b: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
+    exons = F.when(n < 3, F.array(exon(F.lit(1), n))).otherwise(F.array(exon(F.lit(1), F.floor(n / 3)), exon(F.floor(n / 2) + 1, n)))
+    tx = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").cast("string").alias("chr"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), exons.alias("exons"))
+    return genome.spliced(tx, genome.chunked(seqs, 1000), 1000).select(F.col("name").cast("bigint").alias("doc_id"), F.md5("seq").alias("seq"))
 
 
 # selection ------------------------------------------------------------------------------------------
@@ -552,7 +580,10 @@ def positional_bias(spark, sf):
     return stats.position_bias(intervals.coverage(spans(spark, sf)), transcripts(spark, sf), 10).withColumn("mean_depth", F.round("mean_depth", 6))
 
 
-@query()
+@query("""WITH r AS (SELECT l_partkey AS label, (l_orderkey * 100 + l_linenumber)::VARCHAR AS read, unnest(range(1, 6)) AS trial FROM lineitem),
+  u AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY substr(md5('1|' || trial || '|' || read), 1, 13), read) AS n FROM r),
+  k AS (SELECT z.size, trial, count(DISTINCT label) AS k FROM u JOIN (SELECT unnest([100, 1000, 10000]) AS size) z ON n <= z.size GROUP BY 1, 2)
+  SELECT size::BIGINT AS size, floor(sum(k) / 5)::BIGINT AS found FROM k GROUP BY 1""")
 def rarefaction(spark, sf):
     rows = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("label"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("read"))
     return stats.rarefaction(rows, "label", "read", [100, 1000, 10000], trials=5)
@@ -574,15 +605,17 @@ def quality_profile(spark, sf):
 
 # graphs, simulation, streams ------------------------------------------------------------------------
 
-@query("""WITH RECURSIVE e AS (SELECT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node AND r.c < u.b) SELECT node, min(c) AS component FROM r GROUP BY node""")
-def graph_components(spark, sf):
-    e = _t(spark, sf, "lineitem").where("l_quantity >= 49").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst"))
-    return graph.connected_components(e)
+@query("""SELECT l_orderkey * 16 + l_linenumber AS node, min(l_orderkey * 16 + l_linenumber) OVER (PARTITION BY l_orderkey) AS component
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1""")
+def graph_chains(spark, sf):
+    """Components of all lines: each line is linked to the next one of its order."""
+    e = _t(spark, sf, "lineitem").select(F.col("l_orderkey"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("src"))
+    return graph.connected_components(e.withColumn("dst", F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("src"))))
 
 
 @query()
-def graph_components_whole(spark, sf):
+def graph_components(spark, sf):
+    """Components of parts and orders over all lines; tested against union-find."""
     e = _t(spark, sf, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst"))
     return graph.connected_components(e)
 

@@ -128,20 +128,25 @@ def parse_bed12(df: DataFrame) -> DataFrame:
 
 
 def parse_gpd(df: DataFrame) -> DataFrame:
-    """GPD columns as in the file, lists as arrays, and chr, start, end, ``exons`` (1-based)."""
+    """GPD columns as in the file, lists as arrays, and chr, start, end, ``exons`` (1-based); ``line`` stays where there is one."""
     f = fields(df).where((F.size("__f") >= 11) & ~F.col(LINE).startswith("#"))
     numbers = {"txStart", "txEnd", "cdsStart", "cdsEnd", "exonCount"}
     cols = [(_longs(_at(i)) if n in ("exonStarts", "exonEnds") else _long(_at(i)) if n in numbers else _at(i)).alias(n) for i, n in enumerate(GPD)]
+    cols += ["line"] if "line" in df.columns else []
     return f.select(*cols).withColumns({"chr": F.col("chrom"), "start": F.col("txStart") + 1, "end": F.col("txEnd"), "exons": exons_of("exonStarts", "exonEnds")})
 
 
+def last_of_each(pairs: Column) -> Column:
+    """Map of (k, v) pairs; of a repeated key the last value stays, null keys go."""
+    last = F.filter(pairs, lambda p, i: p["k"].isNotNull() & ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
 def attributes(text: Column | str) -> Column:
     """Map of ``key "value";`` pairs; of a repeated key the last value stays."""
     c = F.col(text) if isinstance(text, str) else text
     part = lambda i: F.regexp_extract_all(c, F.lit(r'\s*([^\s;"]+)\s+"?([^";]*)"?\s*(?:;|$)'), F.lit(i))
-    pairs = F.zip_with(part(1), part(2), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return last_of_each(F.zip_with(part(1), part(2), lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
 
 
 def parse_gtf(df: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def parse_gff3(df: DataFrame) -> DataFrame:
     cols = [(_long(own(i)) if n in ("start", "end") else own(i)).alias(n) for i, n in enumerate(GTF)]
     pairs = F.transform(F.filter(F.split(_at(8), ";"), lambda x: F.instr(x, "=") > 0),
                         lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v")))
-    return f.select(*cols, F.map_from_entries(F.array_distinct(pairs)).alias("attribute"))
+    return f.select(*cols, last_of_each(pairs).alias("attribute"))
 
 
 def gff3_transcripts(gff: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def parse_sam_header(df: DataFrame) -> DataFrame:
     f = fields(df.where(is_header()))
     pairs = F.transform(F.filter(F.slice("__f", 2, F.size("__f")), lambda x: F.instr(x, ":") == 3),
                         lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.regexp_replace(x, "^..:", "").alias("v")))
-    return f.select(F.expr("substring(__f[0], 2)").alias("tag"), F.map_from_entries(F.array_distinct(pairs)).alias("info"))
+    return f.select(F.expr("substring(__f[0], 2)").alias("tag"), last_of_each(pairs).alias("info"))
 
 
 def sequence_lengths(header: DataFrame) -> DataFrame:
@@ -235,14 +240,14 @@ def parse_sam(df: DataFrame) -> DataFrame:
         cols.append(c.alias(n))
     tags = F.transform(F.filter(F.slice("__f", 12, F.size("__f")), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:")),
                        lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.struct(F.substring(x, 4, 1).alias("type"), F.regexp_replace(x, "^..:.:", "").alias("value")).alias("v")))
-    return f.select(*cols, F.map_from_entries(tags).alias("tags"))
+    return f.select(*cols, last_of_each(tags).alias("tags"))
 
 
 def parse_vcf(df: DataFrame) -> DataFrame:
     """(chrom, pos, id, ref, alt, qual, filter, info map, format, samples array)."""
     f = fields(df).where((F.size("__f") >= 8) & ~F.col(LINE).startswith("#"))
-    info = F.map_from_entries(F.array_distinct(F.transform(F.split(_at(7), ";"), lambda x: F.struct(
-        F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).alias("v")))))
+    info = last_of_each(F.transform(F.split(_at(7), ";"), lambda x: F.struct(
+        F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).alias("v"))))
     own = lambda i: F.nullif(_at(i), F.lit("."))
     return f.select(_at(0).alias("chrom"), _long(_at(1)).alias("pos"), own(2).alias("id"), _at(3).alias("ref"), _at(4).alias("alt"), own(5).try_cast("double").alias("qual"),
                     own(6).alias("filter"), info.alias("info"), _at(8).alias("format"), F.slice("__f", 10, F.size("__f")).alias("samples"))

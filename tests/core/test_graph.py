@@ -23,7 +23,7 @@ def test_components_of_all_items(spark, tmp_path):
     # few items have a quantity of 49 or more; a hot part joins many orders
     items = [(o, p, float(1 + (7 * o + p) % 50)) for o in range(1, 300) for p in ((1,) if o % 3 == 0 else (o, o + 40))]
     spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.node: r.component for r in QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["graph_components"](spark, str(tmp_path)).collect()}
     assert got == union_find([(2 * p, 2 * o + 1) for o, p, _ in items])
 
 
