@@ -101,12 +101,15 @@ def with_locus(ranges: DataFrame, overhang: int = 0, stranded: bool = False, bin
     A range lies in the locus that covers its start, which is looked up by bin.
     """
     keys = ["chr", "strand"] if stranded else ["chr"]
-    found = loci(ranges, overhang, stranded).select(
-        *keys, F.col("start").alias("locus_start"), F.col("end").alias("locus_end"),
-        F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))).alias("__bin"))
+    return within(ranges, loci(ranges, overhang, stranded), keys, bin_size).withColumnsRenamed({"__start": "locus_start", "__end": "locus_end"})
+
+
+def within(ranges: DataFrame, islands: DataFrame, keys: list, bin_size: int = BIN) -> DataFrame:
+    """``ranges`` with the ends (__start, __end) of the one of disjoint ``islands`` that covers their start, looked up by bin."""
+    found = islands.select(*keys, F.col("start").alias("__start"), F.col("end").alias("__end"),
+                           F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))).alias("__bin"))
     rows = sound(ranges).withColumn("__bin", F.floor(F.col("start") / bin_size))
-    return (rows.join(found, [*keys, "__bin"]).where("start BETWEEN locus_start AND locus_end")
-            .select(*ranges.columns, "locus_start", "locus_end"))
+    return rows.join(found, [*keys, "__bin"]).where("start BETWEEN __start AND __end").select(*ranges.columns, "__start", "__end")
 
 
 def multi_loci(sides: dict, bin_size: int = BIN) -> DataFrame:

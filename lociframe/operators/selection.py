@@ -51,17 +51,22 @@ def numbered_names(df: DataFrame, name: str, *order) -> DataFrame:
     return df.withColumn("unique_name", F.when(n > 1, F.concat(F.col(name), F.lit("["), i.cast("string"), F.lit("/"), n.cast("string"), F.lit("]"))).otherwise(F.col(name)))
 
 
+def lot(seed: int, *columns) -> Column:
+    """A seeded hash of values as text: the order of a draw, the same on any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in columns]).cast("binary"))
+
+
 def sample(df: DataFrame, keys: list, longest: int, rest: int, size: str, seed: int, *order) -> DataFrame:
     """Of each group the ``longest`` rows by ``size`` and ``rest`` others drawn by a seeded hash of ``order``."""
     w = Window.partitionBy(*keys)
     top = df.withColumn("__i", F.row_number().over(w.orderBy(F.col(size).desc(), *[_c(o) for o in order])))
-    draw = F.row_number().over(Window.partitionBy(*keys, F.col("__i") <= longest).orderBy(F.xxhash64(F.lit(seed), *[_c(o) for o in order]), *[_c(o) for o in order]))
+    draw = F.row_number().over(Window.partitionBy(*keys, F.col("__i") <= longest).orderBy(lot(seed, *order), *[_c(o) for o in order]))
     return top.withColumn("__d", draw).where((F.col("__i") <= longest) | (F.col("__d") <= rest)).drop("__i", "__d")
 
 
 def draw_names(df: DataFrame, name: str, n: int, seed: int) -> DataFrame:
     """All rows of ``n`` names drawn without replacement by a seeded hash (a top-k, not a sort)."""
-    chosen = df.select(name).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(name)), name).limit(n)
+    chosen = df.select(name).distinct().orderBy(lot(seed, name), name).limit(n)
     return df.join(chosen, name, "left_semi")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from lociframe.functions import sequence as S
 from lociframe.functions import transcripts as T
-from lociframe.operators import alignment, assembly, compare, genome, intervals, selection, simulation, stats
+from lociframe.operators import alignment, assembly, compare, genome, intervals, selection, simulation, stats, transcriptome
 from lociframe.sources import bgzf, sinks, text
 
 TOOLS: dict = {}
@@ -187,10 +187,9 @@ def gtf_to_tsv(spark, path, attribute_prefix=""):
 
 
 @tool
-def lr_to_transcriptome(spark, path, reference, tolerance=20, minimum_support=2):
-    """Consensus of reads: those with a reference's junctions take its name, others are novel with support."""
-    return compare.reannotate(
-        assembly.consensus(_tx(spark, path), int(tolerance)).where(F.col("support") >= int(minimum_support)).withColumn("gene_name", F.col("name")), _tx(spark, reference))
+def lr_to_transcriptome(spark, path, reference, tolerance=20, minimum_support=2, downsample=50):
+    """Detected references and families of reads, in three passes."""
+    return sinks.gpd(transcriptome.transcriptome(_tx(spark, path), _tx(spark, reference), int(tolerance), int(minimum_support), int(minimum_support), int(downsample)))
 
 
 def best_molecules(rows: DataFrame) -> DataFrame:
@@ -238,16 +237,34 @@ def sam_to_gpd(spark, path, min_intron=68):
     return sinks.gpd(aligned_transcripts(_sam(spark, path), int(min_intron)))
 
 
+def psl_counts(sam: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(id, matches, ...): counts of each row of ``sam`` (with a unique ``id``) against the bases of its target, fetched by chunk."""
+    rows = sam.select(F.col("id").cast("string").alias("name"), F.col("rname").alias("chr"), F.lit("+").alias("strand"), "blocks", F.col("seq").alias("query"))
+    span = F.array(F.struct(F.element_at("blocks", 1)["t_start"].alias("start"), F.element_at("blocks", -1)["t_end"].alias("end")))
+    bases = genome.spliced(rows.select("name", "chr", "strand", span.alias("exons")), genome.chunked(sequences)).select("name", F.col("seq").alias("target_seq"))
+    whole = rows.join(bases, "name").withColumn("target_start", F.element_at("blocks", 1)["t_start"])
+    return alignment.alignment_stats(whole).withColumn("id", F.col("name").cast("bigint")).drop("name")
+
+
 @tool
-def sam_to_psl(spark, path):
-    """PSL of aligned reads; without a reference all aligned bases count as matches."""
-    b = S.cigar_blocks("pos", "cigar")
-    rows = _sam(spark, path).withColumn("b", b).where(F.size("b") > 0)
-    first, last = F.element_at("b", 1), F.element_at("b", -1)
-    zero = F.lit(0).cast("bigint")
+def sam_to_psl(spark, path, fasta=None):
+    """PSL of aligned reads, with counts against the target's bases; without a FASTA file all aligned bases count as matches."""
+    from lociframe.session import cut
+
+    rows = _sam(spark, path).withColumn("blocks", S.once(S.cigar_blocks("pos", "cigar"))).where(F.size("blocks") > 0)
+    zero, b = F.lit(0).cast("bigint"), "blocks"
+    first, last = F.element_at(b, 1), F.element_at(b, -1)
     values = dict(matches=S.aligned_bases("cigar"), strand=F.when(S.has_flag("flag", S.REVERSE), "-").otherwise("+"), qName=F.col("qname"), qSize=S.query_length("cigar"),
-                  qStart=first["q_start"] - 1, qEnd=last["q_end"], tName=F.col("rname"), tSize=zero, tStart=first["t_start"] - 1, tEnd=last["t_end"], blockCount=F.size("b").cast("bigint"),
-                  blockSizes=F.transform("b", lambda x: x["t_end"] - x["t_start"] + 1), qStarts=F.transform("b", lambda x: x["q_start"] - 1), tStarts=F.transform("b", lambda x: x["t_start"] - 1))
+                  qStart=first["q_start"] - 1, qEnd=last["q_end"], tName=F.col("rname"), tSize=zero, tStart=first["t_start"] - 1, tEnd=last["t_end"], blockCount=F.size(b).cast("bigint"),
+                  blockSizes=F.transform(b, lambda x: x["t_end"] - x["t_start"] + 1), qStarts=F.transform(b, lambda x: x["q_start"] - 1), tStarts=F.transform(b, lambda x: x["t_start"] - 1))
+    if fasta:
+        sequences = text.read_fasta(spark, fasta)
+        rows = cut(rows.select("qname", "flag", "rname", "cigar", "seq", "blocks")).withColumn("id", F.monotonically_increasing_id())
+        counts = psl_counts(rows.where("seq IS NOT NULL"), sequences)
+        sizes = sequences.select(F.col("name").alias("rname"), F.length("seq").cast("bigint").alias("t_size"))
+        names = [c for c in counts.columns if c != "id"]
+        rows = rows.join(counts.withColumnsRenamed({c: f"n_{c}" for c in names}), "id", "left").join(sizes, "rname", "left")
+        values |= {c: F.coalesce(f"n_{c}", values.get(c, zero)) for c in names} | {"tSize": F.coalesce("t_size", zero)}
     return sinks.psl(rows.select(*[values.get(c, zero).alias(c) for c in text.PSL]))
 
 

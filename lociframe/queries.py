@@ -488,13 +488,17 @@ def distinct_documents(spark, sf):
     return selection.distinct_layouts(docs, ["layout"], "doc_id").select("doc_id", "copies")
 
 
-@query()
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+  t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_orderkey, l_linenumber) AS i FROM r),
+  d AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, i <= 5 ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber || '|' || q), l_orderkey, l_linenumber, q) AS k FROM t)
+  SELECT l_suppkey, l_orderkey, l_linenumber, q FROM d WHERE i <= 5 OR k <= 5""")
 def longest_and_random(spark, sf):
-    rows = _t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
-    return selection.sample(rows, ["l_suppkey"], 5, 5, "l_quantity", 7, "l_orderkey", "l_linenumber")
+    rows = _t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    return selection.sample(rows, ["l_suppkey"], 5, 5, "q", 7, "l_orderkey", "l_linenumber", "q")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT o_custkey FROM orders), c AS (SELECT o_custkey FROM n ORDER BY md5('3|' || o_custkey), o_custkey LIMIT 50)
+  SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c)""")
 def drawn_names(spark, sf):
     return selection.draw_names(_t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 50, 3)
 
