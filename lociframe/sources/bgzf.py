@@ -1,8 +1,9 @@
 """BGZF and BAM as Spark data sources, read in parallel by ranges of compressed blocks.
 
-``spark.read.format("bam").load(path)`` after ``register(spark)``. A planner
-reads block headers only (18 bytes a block) and cuts a file into partitions of
-about ``partitionBytes`` compressed bytes. BAM records cross blocks, so a
+``spark.read.format("bam").load(path)`` after ``register(spark)``. The planner
+reads a file's header and size only and cuts it into partitions of
+``partitionBytes`` compressed bytes; a partition finds its first block by the
+block magic and where the block's own size leads. BAM records cross blocks, so a
 partition finds its first record by a check of the fixed fields over several
 records in a row, and reads on past its end to finish its last one.
 
@@ -71,6 +72,27 @@ def block_bounds(path: str) -> Iterator[tuple[int, int]]:
             at += n
 
 
+def next_block(f, at: int) -> int:
+    """Start of the first block at byte ``at`` or after it, the file's size where there is none.
+
+    The magic may stand within a block's data by chance: what it starts must also end where another block or nothing follows.
+    """
+    size = f.size()
+    while at < size:
+        f.seek(at)
+        window = f.read(1 << 17)
+        k = window.find(MAGIC)
+        while k >= 0:
+            f.seek(at + k)
+            n = block_size(f.read(64))
+            f.seek(at + k + n)
+            if n and at + k + n <= size and f.read(4) in (MAGIC, b""):
+                return at + k
+            k = window.find(MAGIC, k + 1)
+        at += max(len(window) - 3, 1)
+    return size
+
+
 def inflate(raw: bytes, check: bool = False) -> bytes:
     """Data of one whole block."""
     extra = struct.unpack_from("<H", raw, 10)[0]
@@ -218,17 +240,14 @@ class BamReader(DataSourceReader):
             self.first = s.place() if s.need(1) else None
 
     def partitions(self):
-        cut = []
-        for at, _ in block_bounds(self.path):
-            if not cut or at - cut[-1] >= self.bytes:
-                cut.append(at)
+        with opener(self.path) as f:
+            cut = range(0, max(f.size(), 1), self.bytes)
         return [BlockRange(self.path, a, b) for a, b in zip(cut, [*cut[1:], 1 << 62])]
 
     def read(self, part: BlockRange):
         if self.first is None:
             return
         with opener(part.path) as f:
-            s = Stream(f, part.start)
             if part.start <= self.first[0]:
                 if part.stop <= self.first[0]:
                     return
@@ -236,6 +255,9 @@ class BamReader(DataSourceReader):
                 s.need(self.first[1] + 1)
                 s.take(self.first[1])
             else:
+                s = Stream(f, next_block(f, part.start))
+                if s.next >= part.stop:
+                    return
                 while s.need(1) and not looks_like_record(s, len(self.refs)):
                     s.take(1)
             while s.need(4):
@@ -292,6 +314,53 @@ def index(bam: DataFrame) -> DataFrame:
     return rows.withColumn("flag", flag).drop("__m")
 
 
+INDEX = "qname target_range block_start inner_start aligned_bases flag".split()
+
+
+def write_index(bam: DataFrame, path: str) -> None:
+    """``index`` as gzipped lines of tab-separated fields, in the order of the file."""
+    rows = index(bam).orderBy("block_start", "inner_start")
+    rows.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in INDEX]).alias("value")).write.option("compression", "gzip").text(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of a written index; an empty range is null."""
+    f = F.split("value", "\t", -1)
+    cols = [F.get(f, F.lit(i)) if c in ("qname", "target_range") else F.get(f, F.lit(i)).try_cast("bigint") for i, c in enumerate(INDEX)]
+    return spark.read.text(path).where(F.size(f) >= len(INDEX)).select(*[F.nullif(x, F.lit("")).alias(c) if c == "target_range" else x.alias(c) for x, c in zip(cols, INDEX)])
+
+
+def primaries(rows: DataFrame, n: int | None = None, seed: int = 1) -> DataFrame:
+    """Rows of an index with neither the secondary nor the supplementary flag; with ``n`` so many of them, drawn by a seeded hash."""
+    out = rows.where(F.col("flag").bitwiseAND(F.lit(2304)) == 0)
+    return out if n is None else out.orderBy(F.xxhash64(F.lit(seed), "block_start", "inner_start"), "block_start", "inner_start").limit(n)
+
+
+def records_at(rows: DataFrame, path: str) -> DataFrame:
+    """The records of the file ``path`` at the places of index ``rows``: each task reads its places in the file's order."""
+    import pandas as pd
+
+    names = [x.strip().split(" ")[0] for x in SCHEMA.split(", ")]
+
+    def run(batches):
+        with opener(path) as f:
+            refs, s = read_header(Stream(f, 0))[1], None
+            for pdf in batches:
+                out = []
+                for block, inner in pdf.itertuples(index=False):
+                    if s is None or s.place()[0] != block or s.place()[1] > inner:
+                        s = Stream(f, block)
+                        s.need(inner + 1)
+                    s.take(inner - s.place()[1])
+                    s.need(4)
+                    (k,) = struct.unpack("<i", s.take(4))
+                    s.need(k)
+                    out.append((*record_of(s.take(k), refs), block, inner))
+                yield pd.DataFrame(out, columns=names)
+
+    return rows.select("block_start", "inner_start").repartitionByRange("block_start").sortWithinPartitions("block_start", "inner_start").mapInPandas(run, SCHEMA)
+
+
 def encode_record(row, refs: dict) -> bytes:
     """A BAM record of SAM columns (tags A, i, f, Z and H)."""
     import re

@@ -96,6 +96,13 @@ def test_bam(spark, tmp_path):
     r = got.where("qname = 'r41'").first()
     assert (r.flag, r.rname, r.pos, r.mapq, r.cigar, r.seq, r.qual, r.tags["NH"].value, r.tags["XS"].value) == (0, "chr1", 42, 41, "5M", "ACGTN", "IIII!", "41", "a b")
     assert bgzf.index(got).where("flag & 2304 = 0").count() == 6000
+    bgzf.write_index(got, str(tmp_path / "a.bgi"))
+    again = bgzf.read_index(spark, str(tmp_path / "a.bgi"))
+    assert sorted(again.collect()) == sorted(bgzf.index(got).select(*bgzf.INDEX).collect())
+    some = bgzf.primaries(again, 300, 7)
+    assert some.count() == 300 and sorted(some.collect()) == sorted(bgzf.primaries(again, 300, 7).collect())
+    assert sorted(r.qname for r in bgzf.records_at(some, str(path)).collect()) == sorted(r.qname for r in some.collect())
+    assert bgzf.records_at(again, str(path)).drop("tags").exceptAll(got.drop("tags")).count() == 0
 
 
 def test_statistics(spark):
