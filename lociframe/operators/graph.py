@@ -79,6 +79,38 @@ def descendants(edges: DataFrame, start: DataFrame, max_depth: int = 1000) -> Da
     return seen if seen is not None else front
 
 
+def root_graphs(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each start node the graph of it and all that is reached from it: nodes (start, node) and edges (start, src, dst, ...)."""
+    nodes = descendants(edges, start).unionByName(start.select(F.col("node").alias("start"), "node").distinct()).distinct()
+    held = cut(nodes)
+    inner = (edges.join(held.select("start", F.col("node").alias("src")), "src").join(held.select("start", F.col("node").alias("dst")), ["start", "dst"])
+             .select("start", *edges.columns))
+    return held, inner
+
+
+def moved_edges(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """``edges`` (src, dst) with the edges of each node of ``targets`` (node, target) moved to its target, each once and without loops."""
+    at = lambda side: targets.select(F.col("node").alias(side), F.col("target").alias(f"__{side}"))
+    both = edges.select("src", "dst").join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    return both.select(F.coalesce("__src", "src").alias("src"), F.coalesce("__dst", "dst").alias("dst")).where("src != dst").distinct()
+
+
+def merged_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without cycles: (node, keep) says which node stands for each, the smallest of its cycles; and the edges left."""
+    rings = cut(strong_components(edges))
+    kept = nodes.select("node").distinct().join(rings, "node", "left").select("node", F.coalesce("component", "node").alias("keep"))
+    return kept, moved_edges(edges, rings.select("node", F.col("component").alias("target")))
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """Edges without a direction (src, dst[, weight]): both ways, a weight summed over the edges of a pair, each pair once."""
+    weight = F.sum("weight") if "weight" in edges.columns else F.count("*")
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src != dst").groupBy(low.alias("a"), high.alias("b")).agg(weight.alias("weight"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return pairs.select(ends.alias("e"), "weight").select("e.src", "e.dst", "weight")
+
+
 def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): strongly connected components with two or more nodes, component = smallest node.
 

@@ -640,6 +640,29 @@ def graph_roots(spark, sf):
     return graph.roots(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), e)
 
 
+@query("""WITH e AS (SELECT n_regionkey::BIGINT AS src, n_nationkey::BIGINT + 100 AS dst, n_regionkey::BIGINT AS "start" FROM nation
+  UNION ALL SELECT c_nationkey::BIGINT + 100, c_custkey + 1000, n_regionkey::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT DISTINCT * FROM e""")
+def graph_of_roots(spark, sf):
+    e = _tree(spark, sf)
+    return graph.root_graphs(e, _t(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("node")))[1].distinct()
+
+
+@query("""WITH r AS (SELECT o_orderkey * 2 AS a, o_orderkey * 2 + 1 AS b, o_custkey * -1 - 1 AS c, o_orderkey % 3 = 0 AS ring FROM orders)
+  SELECT DISTINCT CASE WHEN ring THEN a ELSE b END AS src, c AS dst FROM r UNION SELECT a, b FROM r WHERE NOT ring""")
+def graph_without_cycles(spark, sf):
+    """Each order's two nodes, a cycle for every third, lead to its customer."""
+    o = _t(spark, sf, "orders").select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_orderkey") * 2 + 1).alias("b"), (-F.col("o_custkey") - 1).alias("c"), (F.col("o_orderkey") % 3 == 0).alias("ring"))
+    e = (o.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(o.where("ring").select(F.col("b").alias("src"), F.col("a").alias("dst")))
+         .unionByName(o.select(F.col("b").alias("src"), F.col("c").alias("dst"))))
+    return graph.merged_cycles(e.select(F.explode(F.array("src", "dst")).alias("node")), e)[1]
+
+
+@query("""WITH p AS (SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, sum(CAST(l_quantity AS BIGINT))::BIGINT AS weight FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2)
+  SELECT a AS src, b AS dst, weight FROM p UNION ALL SELECT b, a, weight FROM p""")
+def graph_weights(spark, sf):
+    return graph.linked(_t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("bigint").alias("weight")))
+
+
 @query()
 def simulated_reads(spark, sf):
     tx = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("gene_name"), F.col("text").alias("seq"))

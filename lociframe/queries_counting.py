@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociframe.operators import counting, genome
+from lociframe.operators import alignment, counting, genome
 from lociframe.queries import EXONS, TX, _t, query, transcripts
 from lociframe.sources import sinks, text
 
@@ -202,3 +202,41 @@ def track_rows(spark, sf):
     return bed.select("name", counting.browser_url("chrom", "chromStart", "chromEnd", "hg19").alias("url"), F.array_join(F.col("itemRgb").cast("array<string>"), ",").alias("colour"))
 
 
+
+
+_GROUPS = """g AS (SELECT l_orderkey AS name, l_linenumber AS k, max(l_partkey) % 3 AS t, max(l_suppkey) % 4 AS q, max(l_partkey) % 5 = 0 AS bad FROM lineitem GROUP BY ALL),
+  h AS (SELECT name, k, CASE WHEN t + q = 0 THEN 1 ELSE t END AS t, q, bad AND t > 0 AND q > 0 AS bad FROM g)"""
+
+
+def _groups(spark, sf):
+    """Homopolymer groups: the lines of an order, of A in the target and A or C in the query."""
+    g = (_t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("position"))
+         .agg((F.max("l_partkey") % 3).cast("int").alias("t"), (F.max("l_suppkey") % 4).cast("int").alias("q"), (F.max("l_partkey") % 5 == 0).alias("bad")))
+    g = g.withColumn("t", F.when(F.col("t") + F.col("q") == 0, 1).otherwise(F.col("t")))
+    return g.select("name", "position", F.repeat(F.lit("A"), F.col("t")).alias("target"), F.repeat(F.when(F.col("bad") & (F.col("t") > 0), "C").otherwise("A"), F.col("q")).alias("query"))
+
+
+def _base_sql(own: str, far: str) -> str:
+    return f"""WITH {_GROUPS}, w AS (SELECT *, lag({own}) OVER o AS po, lag({far}) OVER o AS pf, lead({own}) OVER o AS no, lead({far}) OVER o AS nf,
+    coalesce(sum({own}) OVER (PARTITION BY name ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, (sum({own}) OVER (PARTITION BY name))::BIGINT AS whole FROM h WINDOW o AS (PARTITION BY name ORDER BY k)),
+  b AS (SELECT *, unnest(range(0, {own}) ) AS z FROM w WHERE {own} > 0), c AS (SELECT *, first + z AS i, abs({own} - {far}) AS d FROM b),
+  e AS (SELECT *, CASE WHEN bad OR {far} = 0 THEN 1.0::DOUBLE ELSE least(d / {own}, 1.0)::DOUBLE END AS ob, CASE WHEN d > {own} THEN (d - {own}) / {own} ELSE 0 END AS x,
+    CASE WHEN z = 0 AND i > 0 AND po = 0 THEN pf END AS b, CASE WHEN z = {own} - 1 AND i < whole - 1 AND no = 0 THEN nf END AS a FROM c),
+  f AS (SELECT *, CASE WHEN b IS NOT NULL THEN 0.5 ELSE 0 END::DOUBLE AS hb, CASE WHEN a IS NOT NULL THEN 0.5 ELSE 0 END::DOUBLE AS ha FROM e)
+  SELECT name, i::INT AS i, round(ob, 6) AS observable, hb + (1 - hb) * ha AS unobservable, round(ob + (1 - ob) * (hb + (1 - hb) * ha), 6) AS probability,
+    round(ob + x + 0.5 * coalesce(b, 0) + 0.5 * coalesce(a, 0), 6)::DOUBLE AS errors FROM f"""
+
+
+def _base_errors(spark, sf, side):
+    rows = alignment.base_errors(_groups(spark, sf), side).drop("base")
+    return rows.withColumns({c: F.round(c, 6) for c in ("observable", "probability", "errors")})
+
+
+@query(_base_sql("q", "t"))
+def query_base_errors(spark, sf):
+    return _base_errors(spark, sf, "query")
+
+
+@query(_base_sql("t", "q"))
+def target_base_errors(spark, sf):
+    return _base_errors(spark, sf, "target")

@@ -45,3 +45,52 @@ def test_psl_counts(spark, tmp_path):
     (line,) = [r[0] for r in TOOLS["sam_to_psl"](spark, str(tmp_path / "r.sam"), str(tmp_path / "g.fa")).collect()]
     f = line.split("\t")
     assert [int(x) for x in f[:8]] == [26, 1, 0, 0, 1, 2, 0, 0] and f[9:13] == ["r", "29", "0", "29"] and f[13:17] == ["c", "300", "10", "140"]
+
+
+def test_consensus_against_brute_force(spark):
+    """Junction places clustered by single linkage, by loops."""
+    import random
+    from collections import Counter
+
+    from lociframe.operators.assembly import consensus
+
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        base = r.choice([[(100, 200), (300, 400), (500, 600)], [(100, 200), (340, 400)], [(4000, 4100), (4200, 4300), (4500, 4600), (4700, 4800)], [(50, 90)]])
+        exons = [[s, e] for s, e in base]
+        for k in range(len(exons)):
+            exons[k] = [exons[k][0] + r.choice([0, 0, 0, 3, -4, 12]), exons[k][1] + r.choice([0, 0, 0, 2, -5, 30])]
+        rows.append(tx("g", f"r{i:03}", *map(tuple, exons), chrom=r.choice("cd"), strand=r.choice("+-")))
+    df = spark.createDataFrame(rows, GPD).repartition(3)
+
+    def linked(values, tolerance):
+        out, last = {}, None
+        for v in sorted(set(values)):
+            if last is None or v - last > tolerance:
+                start = v
+            out[v], last = start, v
+        return out
+
+    want = {}
+    reads = [x for x in rows if len(x[6]) > 1]
+    for key in {(x[2], x[3]) for x in reads}:
+        own = [x for x in reads if (x[2], x[3]) == key]
+        juncs = {x[1]: [(a[1], b[0]) for a, b in zip(x[6], x[6][1:])] for x in own}
+        left = linked([j[0] for js in juncs.values() for j in js], 10)
+        right = {c: linked([j[1] for js in juncs.values() for j in js if left[j[0]] == c], 10) for c in set(left.values())}
+        cluster = lambda j: (left[j[0]], right[left[j[0]]][j[1]])
+        n = Counter(j for js in juncs.values() for j in js)
+        place = {}
+        for j, k in n.items():
+            c = cluster(j)
+            place[c] = max(place.get(c, ((0,),)), ((k, -j[0], -j[1]), j))
+        for x in own:
+            chain = tuple(place[cluster(j)][1] for j in juncs[x[1]])
+            w = want.setdefault((*key, chain), [0, 1 << 60, 0])
+            want[(*key, chain)] = [w[0] + 1, min(w[1], x[4]), max(w[2], x[5])]
+    got = {}
+    for x in consensus(df, 10).collect():
+        e = x.exons
+        got[x.chr, x.strand, tuple((a.end, b.start) for a, b in zip(e, e[1:]))] = [x.support, x.start, x.end]
+    assert got == want
