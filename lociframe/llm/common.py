@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +60,29 @@ def share(spark: SparkSession, value):
         return pickle.loads(sent.value)
 
     return load
+
+
+#: Bits of a sieve: what it sends to the driver and to executors has this bound at any size of its input.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, *columns: str):
+    """A function of columns that is true for all of their values in ``rows``, and false for most others while ``rows`` are few.
+
+    It spares a shuffle most of the rows that a join would drop; the join itself stays.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+    got = (rows.select(F.floor(at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("m"))
+           .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas())
+    load = share(rows.sparkSession, (got["w"].to_numpy(np.int32), got["m"].to_numpy(np.int64)))
+
+    @F.pandas_udf("boolean")
+    def held(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word, mask = load()
+        bits = np.zeros(SIEVE_BITS // 64, np.uint64)
+        bits[word] = mask.view(np.uint64)
+        for h in it:
+            b = h.to_numpy(np.int64) & np.int64(SIEVE_BITS - 1)
+            yield pd.Series((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda *own: held(F.xxhash64(*own))
