@@ -4,11 +4,10 @@ Every ``window``-byte string has an anchor: its gram of least hash. Windows
 that share an anchor occurrence form a run, and equal windows have equal
 anchors at equal offsets, so only runs whose anchor gram occurs twice can hold
 a repeat. Runs with equal content are equal throughout. What is left, runs of
-one anchor with different contents, is brought into suffix order (to
-``window`` bytes) within bounded units: neighbours that agree in all bytes
-have a factor of that length in common, and a window whose previous or next
-smaller position in suffix order lies in the same stretch repeats an earlier
-one. Anchors with very many different contents are refined instead by grouped
+one anchor with different contents, is brought into suffix order within bounded
+units; longest common prefixes with the previous and next smaller positions
+give the longest-previous-factor array, and a window whose value reaches its
+length repeats an earlier one. Anchors with very many different contents are refined instead by grouped
 aggregations: their windows are cut into parts by place around the anchor, and
 only where parts agree in the bytes that all their windows hold, but not
 wholly, are the parts cut further. So no unit grows with the data.
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import fresh, read, texts, tune
-from lociframe.session import cut, table
+from lociframe.session import cut, forget, scratch, table
 
 WINDOW, GRAM = 200, 64
 #: Contents of one anchor that a unit takes; anchors with more are refined in parts.
@@ -120,29 +119,77 @@ def text_runs(rows: list, window: int = WINDOW, gram: int = GRAM):
         yield flush()
 
 
+def suffix_ranks(contents: list) -> list:
+    """Ranks of all positions of ``contents`` laid end to end, by their first 1, 2, 4, ... symbols until they all differ.
+
+    Each content ends in a symbol of its own, below all bytes, so no match leaves its content.
+    """
+    ends = np.cumsum([len(c) + 1 for c in contents]) - 1
+    symbols = np.frombuffer(b"\0".join([*contents, b""]), np.uint8).astype(np.int64) + len(contents)
+    symbols[ends] = np.arange(len(contents))
+    ranks, n, k = [np.unique(symbols, return_inverse=True)[1].reshape(-1)], len(symbols), 1
+    while ranks[-1].max() < n - 1:
+        behind = np.full(n, -1, np.int64)
+        behind[: max(n - k, 0)] = ranks[-1][k:]
+        ranks.append(np.unique(ranks[-1] * (n + 1) + behind + 1, return_inverse=True)[1].reshape(-1))
+        k *= 2
+    return ranks
+
+
+def common_prefix(ranks: list, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at each two positions; 0 where either is -1."""
+    n, real = len(ranks[0]), (one >= 0) & (two >= 0)
+    i, j, out = np.where(real, one, 0), np.where(real, two, 0), np.zeros(len(one), np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        inside = real & (i < n) & (j < n)
+        same = inside & (ranks[level][np.minimum(i, n - 1)] == ranks[level][np.minimum(j, n - 1)]) & (one != two)
+        step = np.where(same, 1 << level, 0)
+        i, j, out = i + step, j + step, out + step
+    return out
+
+
+def smaller_neighbours(order: np.ndarray) -> tuple:
+    """For each place of a suffix array: the previous and the next entry that is a smaller position, -1 for none."""
+    before, after, stack = [-1] * len(order), [-1] * len(order), []
+    for r, x in enumerate(order.tolist()):
+        while stack and stack[-1][1] > x:
+            after[stack.pop()[0]] = x
+        if stack:
+            before[r] = stack[-1][1]
+        stack.append((r, x))
+    return np.array(before, np.int64), np.array(after, np.int64)
+
+
+def factors(contents: list) -> tuple:
+    """(longest previous factor, longest factor elsewhere) of each position of ``contents`` laid end to end, each with one end symbol.
+
+    In suffix order, the longest match with an earlier position is met at the
+    previous or the next smaller position; the longest match with any position
+    is met at a neighbour.
+    """
+    ranks = suffix_ranks(contents)
+    order = np.argsort(ranks[-1], kind="stable")
+    before, after = smaller_neighbours(order)
+    previous, elsewhere = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    previous[order] = np.maximum(common_prefix(ranks, order, before), common_prefix(ranks, order, after))
+    lcp = common_prefix(ranks, order[1:], order[:-1])
+    elsewhere[order] = np.maximum(np.append(lcp, 0), np.insert(lcp, 0, 0))
+    return previous, elsewhere
+
+
 def repeated_windows(contents: list, place: np.ndarray, window: int = WINDOW) -> tuple:
-    """For texts ``contents`` whose windows follow each other from ``place`` on (a sort key, a row each):
+    """(owner, offset, repeated, later) of each window of ``contents``, whose windows follow each other from ``place`` on (a sort key, a row each).
 
-    (owner, offset, repeated, later): which window of which content; whether an equal window exists; whether
-    an earlier one does. Windows are put in suffix order to ``window`` bytes, equal ones by position. Two
-    neighbours with a common prefix of ``window`` bytes share a stretch; within it the previous smaller
-    position of all but the first window is the one before it, so the longest previous factor reaches ``window``.
+    A window repeats when its longest factor elsewhere has ``window`` bytes or
+    more, and repeats an earlier one when its longest previous factor has.
     """
-    size = np.array([len(c) - window + 1 for c in contents], np.int64)
-    owner = np.repeat(np.arange(len(contents)), size)
+    by_place = np.lexsort((place[:, 2], place[:, 1], place[:, 0]))
+    own = [contents[i] for i in by_place]
+    previous, elsewhere = factors(own)
+    size = np.array([len(c) - window + 1 for c in own], np.int64)
     offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    flat = np.frombuffer(b"".join(contents), np.uint8)
-    at = np.repeat(np.cumsum([0] + [len(c) for c in contents[:-1]]), size) + offset
-    view = np.lib.stride_tricks.sliding_window_view(flat, window)[at]
-    by_place = np.lexsort((place[owner, 2] + offset, place[owner, 1], place[owner, 0]))
-    rows = np.ascontiguousarray(view[by_place]).view(np.dtype((np.void, window))).reshape(-1)
-    order = by_place[np.argsort(rows, kind="stable")]
-    same = (view[order[1:]] == view[order[:-1]]).all(1)
-    repeated, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    later[order[1:][same]] = True
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    return owner, offset, repeated, later
+    at = np.repeat(np.cumsum([0] + [len(c) + 1 for c in own[:-1]]), size) + offset
+    return np.repeat(by_place, size), offset, elsewhere[at] >= window, previous[at] >= window
 
 
 def _spans(owner: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> tuple:
@@ -157,9 +204,9 @@ def _spans(owner: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> tuple:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tk, text): an id that is never null and half of a hash of the text tell rows apart."""
+    """(doc, tk, text): an id that is never null and a hash of the text tell rows apart."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2 ** 63))).alias("doc"),
-                       F.pmod(F.xxhash64("text"), F.lit(2 ** 31 - 1)).cast("int").alias("tk"), "text")
+                       F.xxhash64("text").alias("tk"), "text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
@@ -169,8 +216,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     doc_id, then smaller start) are covered; rows that agree in doc_id and
     text are then one text. Spans may overlap; see ``merged``.
     """
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
+    with scratch():
+        return _spans_of(docs, window, gram, keep_first)
+
+
+def _spans_of(docs: DataFrame, window: int, gram: int, keep_first: bool) -> DataFrame:
     keyed = _keyed(docs)
 
     def scan(batches):
@@ -183,9 +234,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
                         [pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), b.column(0).take(take), b.column(1).take(take),
                          pa.array(s[k].astype(np.int32)), pa.array(n[k].astype(np.int32))], names=["h", "c", "doc", "tk", "s", "n"])
 
-    every = table(keyed.mapInArrow(scan, "h long, c long, doc long, tk int, s int, n int"))
-    twice = every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    every = table(keyed.mapInArrow(scan, "h long, c long, doc long, tk long, s int, n int"))
+    # on its own first, so that the join below may split an anchor that very many runs share
+    twice = cut(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
     live = table(every.join(twice, "h", "left_semi"))
+    forget(every)
     classes = cut(live.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tk", "s")).alias("first"), F.min("n").alias("n")))
     mixed = classes.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
 
@@ -216,10 +269,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
                     out, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     fetched = table(keyed.join(wanted, ["doc", "tk"]).dropDuplicates(["doc", "tk"])
                     .select("doc", "tk", "text", "rs")
-                    .mapInArrow(fetch, "h long, doc long, tk int, s int, copies long, contents long, content binary"))
+                    .mapInArrow(fetch, "h long, doc long, tk long, s int, copies long, contents long, content binary"))
 
     def order(batches):
         # whole anchors at a time, in units of some thousands of windows
@@ -231,7 +284,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
             place = np.column_stack([t.column(i).to_numpy() for i in (1, 2, 3)]).astype(np.int64)
             owner, offset, repeated, later = repeated_windows(content, place, window)
             o, a, z = _spans(owner, offset, later if keep_first else repeated & (t.column(4).to_numpy()[owner] == 1))
-            return pa.RecordBatch.from_arrays([pa.array(place[o, 0]), pa.array(place[o, 1].astype(np.int32)),
+            return pa.RecordBatch.from_arrays([pa.array(place[o, 0]), pa.array(place[o, 1]),
                                                pa.array((place[o, 2] + a).astype(np.int32)),
                                                pa.array((place[o, 2] + z + window).astype(np.int32))], names=["doc", "tk", "s", "e"])
 
@@ -251,10 +304,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
             yield done()
 
     small = (fetched.where(F.col("contents") <= UNIT).repartition("h").sortWithinPartitions("h")
-             .mapInArrow(order, "doc long, tk int, s int, e int"))
+             .mapInArrow(order, "doc long, tk long, s int, e int"))
     large = _refined(fetched.where(F.col("contents") > UNIT), window, gram, keep_first)
-    return (whole.unionByName(small).unionByName(large)
-            .groupBy("doc", "tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    return cut(whole.unionByName(small).unionByName(large)
+               .groupBy("doc", "tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
 def _part_widths(places: int) -> list:
@@ -277,7 +330,7 @@ def _refined(contents: DataFrame, window: int, gram: int, keep_first: bool) -> D
     spark = contents.sparkSession
     places = window - gram + 1
     live = contents.select("h", "doc", "tk", "s", "copies", "content", F.lit(-1).alias("q"))
-    out = spark.createDataFrame([], "doc long, tk int, s int, e int")
+    out = spark.createDataFrame([], "doc long, tk long, s int, e int")
     names = ["key", "full", "h", "doc", "tk", "s", "copies", "content", "q"]
     for width in _part_widths(places):
         if live.isEmpty():
@@ -297,9 +350,9 @@ def _refined(contents: DataFrame, window: int, gram: int, keep_first: bool) -> D
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
         cut_up = table(live.select("h", "doc", "tk", "s", "copies", "content", "q")
-                       .mapInArrow(parts, "key binary, full binary, h long, doc long, tk int, s int, copies long, content binary, q int"))
+                       .mapInArrow(parts, "key binary, full binary, h long, doc long, tk long, s int, copies long, content binary, q int"))
         classes = cut_up.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "s", "h", "copies", "content", "q")).alias("first"))
         same = classes.where("n > 1").select("key", "full", F.struct("first.doc", "first.tk", "first.s").alias("f"))
         met = cut_up.join(same, ["key", "full"])
@@ -371,12 +424,15 @@ def removal_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``; all other columns as they are.
 
-    A character that a span splits is dropped whole. Null texts stay null.
+    A character that a span splits is dropped whole. Null texts stay null, texts
+    under a window stay as they are. Rows that agree in id and text lose the
+    same; rows of one id with other texts, and of null ids, are texts of their
+    own. An empty table stays empty; extra columns of any name are kept.
     """
     d, t, doc, tk, ss = (fresh(docs, x) for x in ("__d", "__t", "__doc", "__tk", "__spans"))
     spans = repeated_spans(docs, window, gram, keep_first).toDF(doc, tk, ss)
     keyed = (docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2 ** 63))))
-             .withColumn(t, F.pmod(F.xxhash64("text"), F.lit(2 ** 31 - 1)).cast("int")))
+             .withColumn(t, F.xxhash64("text")))
     joined = keyed.join(spans, (F.col(d) == F.col(doc)) & (F.col(t) == F.col(tk)), "left")
 
     @F.pandas_udf("string")
