@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from lociframe.llm.common import read, tune
 CHUNK, OVERLAP = 32_768, 512
 
 
+@lru_cache(maxsize=2)
 def load(ranks_path: str, pattern: str):
+    """The encoding; a process builds it once."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -70,9 +73,16 @@ def _digest(doc_id, ids: list, encoding) -> tuple:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """ids of every row: (row_key, doc_id, part, ids) — one part for a short text, ordered parts for a long one.
 
-    Null texts are empty and give one part without ids. Rows are told apart by
-    a key of their own, so null and repeated ids are kept.
+    Null and empty texts give one part without ids. Rows are told apart by a
+    key of their own, so null and repeated ids are kept; other columns are not
+    read. An empty table gives an empty result.
     """
+    short, long = encoded_parts(docs, ranks_path, pattern, chunk, overlap)
+    return short.unionByName(long)
+
+
+def encoded_parts(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """``encode_documents`` of the texts of one chunk at most, whose row_key is null, and of the longer ones."""
     spark = docs.sparkSession
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -89,11 +99,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int
 
     short = inner.where(F.length("text") <= chunk).mapInArrow(whole, schema)
     # each chunk with its left neighbour's part of the text, dealt out over all tasks
-    pieces = (inner.where(F.length("text") > chunk).withColumn("row_key", F.monotonically_increasing_id())
-              .select("row_key", "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {chunk} as int))")).alias("part"))
-              .select("row_key", "doc_id", "part",
-                      F.expr(f"substring(text, part * {chunk} + 1, {chunk + overlap})").alias("body"))
-              .repartition("row_key", "part"))
+    def chunks(batches):
+        for b in batches:
+            for i, t in enumerate(b.column(2).to_pylist()):
+                n = -(-len(t) // chunk)
+                for lo in range(0, n, 64):
+                    part = range(lo, min(lo + 64, n))
+                    take = pa.array([i] * len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(part, pa.int32()),
+                                                      pa.array([t[k * chunk: (k + 1) * chunk + overlap] for k in part], pa.string())],
+                                                     names=["row_key", "doc_id", "part", "body"])
+
+    pieces = (inner.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
+              .mapInArrow(chunks, f"row_key long, doc_id {kind}, part int, body string").repartition("row_key", "part"))
 
     def scan(batches):
         import regex
@@ -128,15 +146,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())],
                                              names=["row_key", "doc_id", "part", "ids"])
 
-    return short.unionByName(ready.unionByName(rest).mapInArrow(parts, schema))
+    return short, ready.unionByName(rest).mapInArrow(parts, schema)
 
 
 def bpe_roundtrip(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Encode every text, decode the ids, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode every text, decode the ids, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have no ids. Repeated rows and null ids get a row each;
+    other columns are not read. An empty table gives an empty result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    encoded = encode_documents(docs, ranks_path, pattern, chunk, overlap)
-    one = encoded.where("row_key IS NULL").select("doc_id", F.array("ids").alias("parts"))
-    many = (encoded.where("row_key IS NOT NULL").groupBy("row_key", "doc_id")
+    short, long = encoded_parts(docs, ranks_path, pattern, chunk, overlap)
+    one = short.select("doc_id", F.array("ids").alias("parts"))
+    many = (long.groupBy("row_key", "doc_id")
             .agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("all"))
             .select("doc_id", F.transform("all", lambda x: x["ids"]).alias("parts")))
 
