@@ -1,10 +1,11 @@
 """Shards of near equal bytes by vector bin packing.
 
-Groups of equal texts above a fixed share of the input are items of their
-own (their number is bounded by that share); all other groups are dealt into
-``CELLS`` cells by hash. The items, a bounded number, are placed in order of
-size where the dot product of (bytes, tokens, rows) with the residual capacity
-is highest. A group larger than a whole shard is split.
+Groups of equal texts above a fixed share of all bytes, tokens or rows are
+items of their own (their number is bounded by that share); all other groups,
+each under that share of all three, are dealt into ``CELLS`` cells by hash. The
+items, a bounded number, are placed in order of size where the dot product of
+(bytes, tokens, rows) with the residual capacity is highest. A group larger
+than a whole shard in one of the three is split.
 """
 
 from __future__ import annotations
@@ -51,14 +52,15 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), F.xxhash64(text).alias("h"),
         F.monotonically_increasing_id().alias("turn")))
-    total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")]
-    # at most shards * LARGE groups can have such a share of all bytes
-    large = (base.groupBy("h", "text_crc32", "size").agg(*sums).where(F.col("b") * (shards * LARGE) > F.lit(total))
+    total = [max(x or 0, 1) for x in base.agg(*sums).first()]
+    share = F.greatest(*(F.col(c) / F.lit(float(n)) for c, n in zip("btr", total)))
+    # at most 3 * shards * LARGE groups can have such a share of one of the three
+    large = (base.groupBy("h", "text_crc32", "size").agg(*sums).withColumn("share", share).where(F.col("share") * (shards * LARGE) > 1)
              .orderBy("h", "text_crc32", "size").collect())
     rows, items = [], []
     for g in large:
-        parts = 1 if g.b * shards <= total else int(min(g.r, -(-g.b * shards * 4 // total)))
+        parts = 1 if g.share * shards <= 1 else int(min(g.r, shards * np.ceil(4 * g.share)))
         rows.append((g.h, g.text_crc32, g["size"], CELLS + len(items), parts))
         items += [(g.b / parts, g.t / parts, g.r / parts)] * parts
     known = F.broadcast(spark.createDataFrame(rows, "h long, text_crc32 long, size long, item0 int, parts int"))
