@@ -1,10 +1,11 @@
 """Quality rules scored by an isolation forest.
 
 Rule statistics of every whole text feed a forest of random splits; documents
-that are isolated by short paths are anomalous. The forest is grown on good
-labelled rows and its threshold is set on labelled rows, from a bounded sample
-(``MAX_TRAIN`` rows with the smallest hash of the id). Everything else reads
-all rows; scoring is one narrow pass without a shuffle.
+that are isolated by short paths are anomalous. The forest is grown on half of
+the good labelled rows and its threshold is set on the other half and the bad
+ones, from a bounded sample (``MAX_TRAIN`` rows with the smallest hash of the
+id). Everything else reads all rows; scoring is one narrow pass without a
+shuffle.
 """
 
 from collections.abc import Iterator
@@ -76,7 +77,8 @@ def statistics(text: bytes | None) -> tuple:
 def features(stats: np.ndarray) -> np.ndarray:
     """Shares of symbols, capitals and punctuation among a row's word characters.
 
-    Lengths and repeats stay with the base rules: good rows vary widely there.
+    Lengths and repeats stay with the base rules: good rows vary widely there, so that splits on
+    them isolate good rows as fast as bad ones.
     """
     x = stats.astype(np.float64)
     return x[:, [2, 6, 7]] / np.maximum(x[:, 1:2], 1)
@@ -94,7 +96,6 @@ class Forest:
     def __init__(self, x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.trees, self.size = [], min(sample, len(x))
-        self.low, self.high = (x.min(0), x.max(0)) if len(x) else (None, None)
         depth = int(np.ceil(np.log2(max(self.size, 2))))
         for _ in range(trees if len(x) > 1 else 0):
             rows = x[rng.choice(len(x), self.size, replace=False)]
@@ -121,7 +122,7 @@ class Forest:
         self.depth = depth
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in 0 to 1; values outside the range seen in growing add to it."""
+        """Anomaly score in 0 to 1: the shorter the mean path, the higher."""
         if not self.trees or not len(x):
             return np.zeros(len(x))
         total = np.zeros(len(x))
@@ -151,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
         return Forest(np.zeros((0, 3))), 2.0
     few = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], "doc_id long, __q int"))
     seen = measure(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "__q"), keep=["__q"])
-    pdf = seen.select("__q", *STATS).limit(max_train).toPandas()
+    # of rows that repeat an id, the one of the least statistics: no more rows than ids
+    pdf = seen.groupBy("doc_id", "__q").agg(F.min(F.struct(*STATS)).alias("s")).select("__q", "s.*").toPandas()
     if not len(pdf):
         return Forest(np.zeros((0, 3))), 2.0
     stats, q = pdf[STATS].to_numpy(np.int64), pdf["__q"].to_numpy()
@@ -159,7 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     x, q = features(stats)[keep], q[keep]
     order = np.lexsort(np.column_stack([x, q]).T)
     x, q = x[order], q[order]
-    forest = Forest(x[q == 1])
+    # every other good row in order of its features grows the forest, which the threshold's rows have not seen
+    grow = (q == 1) & (np.cumsum(q == 1) % 2 == 1)
+    forest = Forest(x[grow])
+    x, q = x[~grow], q[~grow]
     score = forest.score(x)
     good_score, bad_score = np.sort(score[q == 1]), np.sort(score[q == 0])
     if len(good_score) < 2 or not len(bad_score):
@@ -210,7 +215,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the forest, all columns kept."""
+    """The rows of ``docs`` that pass the base rules and the forest, all columns kept.
+
+    Null and empty texts go (no words); repeated rows are judged alike; an empty
+    table stays empty; extra columns of any name are kept.
+    """
     tune(docs.sparkSession)
     load = share(docs.sparkSession, fit(docs, labels, max_train))
 
