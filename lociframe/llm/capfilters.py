@@ -9,6 +9,8 @@ compared exactly; a pair counts in its smallest common filter only.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,9 @@ def code_size(count: int) -> int:
     return int(min(4096, 2 ** np.ceil(np.log2(want) / 2)))
 
 
+@lru_cache(maxsize=4)
 def codebooks(dim: int, size: int, seed: int = 11) -> tuple:
+    """(rotation, first half, two codebooks); a process builds them once."""
     rng = np.random.default_rng(seed)
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     half = dim // 2
