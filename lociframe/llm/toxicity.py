@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import fold, fresh, read, share, texts, tune
-from lociframe.session import table
+from lociframe.session import forget, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 4_000, 16_000, 30_000
 #: Standard deviations by which a feature must be commoner in positive than in unlabelled rows.
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         own = [np.asarray(x, np.int64) for x in part["own"]]
         return len(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, np.int64), *own])
 
+    forget(sample)
     theta, bias = nnpu(matrix(rows[rows["p"]]), matrix(rows[rows["u"]]), len(vocab), toxic / total)
     return {w: float(t) for w, t in zip(vocab, theta) if t != 0}, bias
 
@@ -197,7 +198,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns kept."""
+    """The rows of ``docs`` that are not predicted toxic, all columns kept.
+
+    Null and empty texts are judged by the bias alone; repeated rows are judged
+    alike; an empty table stays empty; extra columns of any name are kept.
+    """
     tune(docs.sparkSession)
     score = scorer(docs.sparkSession, fit(docs, labels))
     name = fresh(docs, "__score")
