@@ -2,37 +2,38 @@
 
 The trie of byte contexts up to ``ORDER`` is counted over all training rows
 and keeps every node. It is never in one place: a context lies in the shard of
-its last two bytes with all longer contexts that end in them, and only orders
-0 and 1 (65,536 pairs at most) go to every shard. Texts are cut into chunks; the
-distinct (ORDER + 1)-grams of a chunk visit their shards and come back with
-their probabilities. Escapes are estimated by the number of distinct symbols
-(method C) and symbols seen in a longer context are excluded from the shorter one.
-
-Words whose share is ``WORD_SHARE`` or more are scored from a dictionary of
-bounded size; all other words are joined with their exact counts.
+its last two symbols with all longer contexts that end in them, and only orders
+0 and 1 (66,049 pairs at most) go to every shard. Texts are cut into chunks; the
+distinct (ORDER + 1)-grams of a chunk visit their shards, packed into one blob a
+shard, and their probabilities come back in the same order. Escapes are
+estimated by the number of distinct symbols (method C) and symbols seen in a
+longer context are excluded from the shorter one. The end of a text is a symbol
+of its own. Words are counted in the same way, by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import fold, read, share, texts, tune
-from lociframe.session import cut, table
+from lociframe.session import cut, forget, table
 
 ORDER = 5
-#: Share of the training bytes below which a node is dropped: none is.
-LEAST_SHARE = 0.0
-WORD_SHARE = 4e-6
 FOLDS = 10
-#: Bytes and distinct words that a task counts before it passes them on.
-CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 300_000
-#: Rows from which a task scores the shards it holds.
-SHARD_ROWS = 1_000_000
+#: Bits of a symbol: 256 bytes, and ``EDGE`` for the end of a text and for what stands before it.
+BITS, EDGE = 9, 256
+#: Bytes of a chunk.
+CHUNK_BYTES = 8_000_000
+#: Bytes of texts that are coded at once, and grams that a shard decodes before it counts them.
+SLICE_BYTES, MERGE = 4_000_000, 2_000_000
+MAX_SHARDS = 1 << 16
 
 
 def tokens(text: bytes | None) -> list:
@@ -40,20 +41,65 @@ def tokens(text: bytes | None) -> list:
     return [*text.lower().split(), b""] if text else [b""]
 
 
-def codes_of(rows: list, order: int = ORDER) -> tuple:
-    """(codes, lengths): for each byte and for the end (byte 0) of each text, it and its ``order`` predecessors.
+def coded(rows: list, order: int = ORDER, most: int = 0):
+    """Yields (codes, rows): for each byte of each lower-cased text and for its end, it and its ``order`` predecessors, and its text's index.
 
-    Before a text stand zeros, so its first bytes have contexts of their own.
+    Slices are of ``SLICE_BYTES`` or so; a longer text spans several.
     """
-    pad = b"\0" * order
-    buf = np.frombuffer(b"".join(pad + (t or b"") + b"\0" for t in rows), np.uint8)
-    lengths = np.array([len(t or b"") + 1 for t in rows], np.int64)
-    code = np.zeros(len(buf), np.uint64)
-    for j in range(order + 1):
-        code[order:] |= buf[order - j: len(buf) - j].astype(np.uint64) << np.uint64(8 * j)
-    first = np.cumsum(lengths + order) - lengths
-    keep = np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
-    return code[keep], lengths
+    most = most or SLICE_BYTES
+
+    def slices():
+        held, size = [], 0
+        for i, t in enumerate(rows):
+            t = (t or b"").lower()
+            for lo in range(0, len(t) + 1, most):
+                last = lo + most > len(t)
+                before = np.frombuffer(t[max(lo - order, 0): lo], np.uint8).astype(np.uint16)
+                own = np.frombuffer(t[lo: lo + most], np.uint8).astype(np.uint16)
+                edge = np.full(order - len(before), EDGE, np.uint16)
+                held.append((i, len(own) + last, np.concatenate([edge, before, own, np.full(int(last), EDGE, np.uint16)])))
+                size += len(own) + 1
+                if size >= most:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    for held in slices():
+        buf = np.concatenate([x for _, _, x in held])
+        lengths = np.array([n for _, n, _ in held], np.int64)
+        code = np.zeros(len(buf), np.uint64)
+        for j in range(order + 1):
+            code[order:] |= buf[order - j: len(buf) - j].astype(np.uint64) << np.uint64(BITS * j)
+        first = np.cumsum(lengths + order) - lengths
+        keep = np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+        yield code[keep], np.repeat(np.array([i for i, _, _ in held], np.int64), lengths)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Values as compressed planes of bytes; sorted uint64 as the steps between them."""
+    x = np.diff(values, prepend=np.uint64(0)) if values.dtype == np.uint64 else values
+    return pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(blob, size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(dtype).reshape(-1)
+    return np.cumsum(raw, dtype=np.uint64) if dtype == np.uint64 else raw
+
+
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple:
+    """Distinct codes, sorted, and the sums of their counts."""
+    c, inverse = np.unique(codes, return_inverse=True)
+    return c, np.bincount(inverse.reshape(-1), counts, len(c)).astype(np.int64)
+
+
+def counted(codes: np.ndarray, flags: np.ndarray) -> tuple:
+    """Distinct codes (of 63 bits), sorted, and how often each has its flag."""
+    x = np.sort(codes << np.uint64(1) | flags.astype(np.uint64))
+    c = x >> np.uint64(1)
+    first = np.concatenate([np.zeros(min(len(c), 1), np.int64), np.flatnonzero(c[1:] != c[:-1]) + 1])
+    return c[first], np.add.reduceat((x & np.uint64(1)).astype(np.int64), first) if len(c) else np.zeros(0, np.int64)
 
 
 class Index:
@@ -96,7 +142,7 @@ class Index:
 
 
 def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << (8 * n)) - 1)
+    return np.uint64((1 << (BITS * n)) - 1)
 
 
 class Trie:
@@ -110,7 +156,7 @@ class Trie:
             for k, (codes, counts) in enumerate(orders):
                 sort = np.argsort(codes)
                 codes, counts = codes[sort], counts[sort].astype(np.float64)
-                ctx, inverse, q = np.unique(codes >> np.uint64(8), return_inverse=True, return_counts=True)
+                ctx, inverse, q = np.unique(codes >> np.uint64(BITS), return_inverse=True, return_counts=True)
                 inverse = inverse.reshape(-1)
                 total = np.bincount(inverse, counts, len(ctx))
                 index = Index(codes)
@@ -132,7 +178,7 @@ class Trie:
                 self.pairs.append((index, log_c, top))
                 self.contexts.append((c_index, escape, den, rest_escape))
                 if k == 0:
-                    self.floor = -np.log10(max(256 - len(codes), 1))
+                    self.floor = -np.log10(max(EDGE + 1 - len(codes), 1))
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each code after the bytes before it."""
@@ -155,7 +201,7 @@ class Trie:
             if later.any():
                 out[live[later]] += log_c[at[later]] - den[above[later]]
             miss = ~hit
-            ctx = c_index.find((c[miss] >> np.uint64(8)) & _mask(k))
+            ctx = c_index.find((c[miss] >> np.uint64(BITS)) & _mask(k))
             start = (ctx >= 0) & ~came[miss]
             lost = live[miss]
             out[lost[start]] += escape[ctx[start]]
@@ -167,201 +213,232 @@ class Trie:
         return out
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, c): the tokens of all rows of ``train``."""
+def chunked(base: DataFrame, folds: int) -> DataFrame:
+    """(chunk, ids, train, sizes, texts): ``base`` (doc_id, text) in a row for each chunk of ``CHUNK_BYTES`` or a little more, written once.
+
+    ``texts`` has the lower-cased texts one after the other, compressed; ``sizes`` their bytes.
+    """
+    kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        words = Counter()
+        from pyspark import TaskContext
+
+        chunk, size, held = TaskContext.get().partitionId() << 32, 0, []
 
-        def spelled():
-            items = list(words.items())
-            words.clear()
-            for lo in range(0, len(items), 50_000):
-                part = items[lo: lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+        def done():
+            ids, train, own = (pa.concat_arrays([h[i] for h in held]) if i < 2 else [t for h in held for t in h[2]] for i in range(3))
+            n = len(own)
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in (ids, train, pa.array([len(t) for t in own], pa.int64()))]
+            blob = pa.compress(b"".join(own), codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([blob], pa.binary())], names=["chunk", "ids", "train", "sizes", "texts"])
 
         for b in batches:
-            for t in texts(b.column(0)):
-                words.update(tokens(t))
-                if len(words) > CHUNK_WORDS:
-                    yield from spelled()
-        yield from spelled()
+            own = [(t or b"").lower() for t in texts(b.column(1))]
+            lo = 0
+            for i, t in enumerate(own):
+                size += len(t) + 6
+                if size > CHUNK_BYTES:
+                    held.append((b.column(0)[lo: i + 1], b.column(2)[lo: i + 1], own[lo: i + 1]))
+                    yield done()
+                    chunk, size, held, lo = chunk + 1, 0, [], i + 1
+            if lo < len(own):
+                held.append((b.column(0)[lo:], b.column(2)[lo:], own[lo:]))
+        if held:
+            yield done()
 
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return table(base.withColumn("train", fold("doc_id", folds) != 0).mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary"))
 
 
-def chunked(base: DataFrame, folds: int) -> DataFrame:
-    """``base`` (doc_id, text) with its fold and the number of a chunk of about ``CHUNK_BYTES``, written once."""
-    kind = base.schema["doc_id"].dataType.simpleString()
+def texts_of(sizes: list, blob: bytes) -> list:
+    whole = pa.decompress(blob, sum(sizes), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [whole[i:j] for i, j in zip([0, *ends], ends)]
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            out = []
-            for t in texts(b.column(1)):
-                size += len(t or b"") + 6
-                if size > CHUNK_BYTES:
-                    chunk, size = chunk + 1, 0
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "text", "train", "chunk"])
+def grams_of(rows: list, train: np.ndarray, order: int, shards: int) -> tuple:
+    """(codes, counts, edges): the distinct grams of texts by shard, in order, with their counts in training rows; where each shard starts."""
+    code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for c, row in coded(rows, order):
+        c, k = counted(c, train[row])
+        code, n = summed(np.concatenate([code, c]), np.concatenate([n, k])) if len(code) else (c, k)
+    key = ((code >> np.uint64(BITS)) & _mask(2)).astype(np.int64)
+    shard = ((key * 40503) & 0xFFFF) * shards >> 16
+    sort = np.argsort(shard, kind="stable")
+    return code[sort], n[sort], np.searchsorted(shard[sort], np.arange(shards + 1))
 
-    return table(base.withColumn("train", fold("doc_id", folds) != 0).mapInArrow(run, f"doc_id {kind}, text string, train boolean, chunk long"))
 
+def words_of(rows: list, train: np.ndarray, shards: int) -> tuple:
+    """(hashes, counts, edges, at, sizes): the same of tokens, by hash; of all tokens in order, which one each is; tokens of each text."""
+    split = [tokens(t) for t in rows]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    every = list(itertools.chain.from_iterable(split))
+    index = dict(zip(dict.fromkeys(every), itertools.count()))
+    at = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+    sort = np.argsort(h)
+    rank = np.empty(len(sort), np.int64)
+    rank[sort] = np.arange(len(sort))
+    at = rank[at]
+    n = np.bincount(at, np.repeat(train, sizes), len(h)).astype(np.int64)
+    return h[sort], n, np.searchsorted(h[sort] >> np.uint64(48), (np.arange(shards + 1) << 16) // shards), at, sizes
 
-def grams(rows: DataFrame, order: int) -> DataFrame:
-    """(key, chunk, code, n): the distinct grams of each chunk with their count in training rows, and their shard's key."""
 
-    def run(batches):
-        held, train, size, last = [], [], 0, None
-
-        def counted():
-            code, lengths = codes_of(held, order)
-            c, inverse = np.unique(code, return_inverse=True)
-            n = np.bincount(inverse.reshape(-1), np.repeat(np.array(train, np.float64), lengths), len(c)).astype(np.int64)
-            held.clear()
-            train.clear()
-            for lo in range(0, len(c), 100_000):
-                x = c[lo: lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(((x >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(np.full(len(x), last)),
-                                                  pa.array(x.view(np.int64)), pa.array(n[lo: lo + 100_000])], names=["key", "chunk", "code", "n"])
+def grams(rows: DataFrame, order: int, shards: int) -> DataFrame:
+    """(shard, chunk, n, codes, counts): the distinct grams of each chunk with their counts in training rows, a row each shard.
 
-        for b in batches:
-            for t, own, chunk in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if held and (chunk != last or size > CHUNK_BYTES):
-                    yield from counted()
-                    size = 0
-                last = chunk
-                held.append(t)
-                train.append(own)
-                size += len(t or b"") + 6
-        if held:
-            yield from counted()
+    Shard -1 has the chunk's pairs of order 1; shards from -2 down have its words.
+    """
 
-    return rows.select("text", "train", "chunk").mapInArrow(run, "key int, chunk long, code long, n long")
+    def run(batches):
+        for b in batches:
+            for chunk, train, sizes, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
+                own, train = texts_of(sizes, blob), np.array(train, bool)
+                code, n, at = grams_of(own, train, order, shards)
+                low = summed((code & _mask(min(order, 1) + 1))[n > 0], n[n > 0])
+                h, k, edge, *_ = words_of(own, train, shards)
+                out = [(-1, *low)]
+                out += [(s, code[i:j], n[i:j]) for s, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+                out += [(-2 - s, h[i:j], k[i:j]) for s, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+                for lo in range(0, len(out), 64):
+                    s, c, m = zip(*out[lo: lo + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([chunk] * len(s), pa.int64()), pa.array([len(x) for x in c], pa.int32()),
+                                                      pa.array([packed(x) for x in c], pa.binary()), pa.array([packed(x) for x in m], pa.binary())], names=["shard", "chunk", "n", "codes", "counts"])
+
+    return rows.select("chunk", "train", "sizes", "texts").mapInArrow(run, "shard int, chunk long, n int, codes binary, counts binary")
 
 
 def _marginal(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple:
     """Pairs of order ``k`` and their counts."""
-    c, inverse = np.unique(codes & _mask(k + 1), return_inverse=True)
-    return c, np.bincount(inverse.reshape(-1), counts, len(c)).astype(np.int64)
+    return summed(codes & _mask(k + 1), counts)
 
 
-def probabilities(met: DataFrame, order: int, least_share: float) -> DataFrame:
-    """(chunk, code, logp) for each gram of each chunk, from the counts of all chunks."""
-    low = met.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).toPandas()
-    codes, counts = low["code"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64)
-    least = max(least_share * int(counts.sum()), 1)
-    load = share(met.sparkSession, (codes, counts))
+class Merge:
+    """Sums of counts by code over blobs, some at a time."""
 
-    def keep(pair):
-        return tuple(x[pair[1] >= least] for x in pair)
+    def __init__(self, blobs: list):
+        code, total, wait, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for _, n, codes, counts in blobs:
+            wait.append((unpacked(codes, n, np.uint64), unpacked(counts, n, np.int64)))
+            size += n
+            if size >= MERGE:
+                code, total = summed(np.concatenate([code, *(c for c, _ in wait)]), np.concatenate([total, *(k for _, k in wait)]))
+                wait, size = [], 0
+        self.code, self.total = summed(np.concatenate([code, *(c for c, _ in wait)]), np.concatenate([total, *(k for _, k in wait)]))
+
+
+def answered(met: DataFrame, tasks: int, answer) -> DataFrame:
+    """(shard, chunk, n, values): ``answer(blobs)`` -> (chunk, values) for all blobs of each shard together.
+
+    A shard keeps its blobs packed while it sums their counts, and unpacks each again to answer it.
+    """
 
     def run(batches):
-        lows, low_counts = load()
-        base = [keep(_marginal(lows, low_counts, k)) for k in range(min(order, 1) + 1)]
-
-        def scored(t):
-            chunk, code, n = (t.column(i).to_numpy() for i in range(1, 4))
-            c, inverse = np.unique(code.view(np.uint64), return_inverse=True)
-            inverse = inverse.reshape(-1)
-            if len(base[0][0]):
-                total = np.bincount(inverse, n, len(c)).astype(np.int64)
-                own, total = c[total > 0], total[total > 0]
-                trie = Trie([*base, *(keep(_marginal(own, total, k)) for k in range(2, order + 1))])
-                logp = np.concatenate([trie.log10(c[i: i + 500_000]) for i in range(0, len(c), 500_000)])
-            else:
-                logp = np.full(len(c), -np.log10(256))
-            out = pa.table([chunk, code, logp[inverse]], names=["chunk", "code", "logp"])
-            yield from out.to_batches(max_chunksize=100_000)
+        held, at = [], None
+
+        def told():
+            for chunk, values in answer(held):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([chunk], pa.int64()), pa.array([len(values)], pa.int32()), pa.array([packed(values)], pa.binary())],
+                                                 names=["shard", "chunk", "n", "values"])
 
-        held, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.num_rows
-            key = b.column(0).to_numpy()
-            # a shard is scored when all its rows are there
-            if size >= SHARD_ROWS and (key[0] != key[-1] or len(held) > 1 and held[-2].column(0)[-1].as_py() != key[0]):
-                at = int(np.searchsorted(key, key[-1]))
-                t = pa.Table.from_batches([*held[:-1], b.slice(0, at)])
-                held, size = [b.slice(at)], b.num_rows - at
-                yield from scored(t)
+            for shard, *blob in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if shard != at:
+                    if held:
+                        yield from told()
+                    held, at = [], shard
+                held.append(blob)
         if held:
-            yield from scored(pa.Table.from_batches(held))
+            yield from told()
+
+    return met.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, chunk long, n int, values binary")
 
-    return met.repartition("key").sortWithinPartitions("key").select("key", "chunk", "code", "n").mapInArrow(run, "chunk long, code long, logp double")
 
+def probabilities(met: DataFrame, order: int, tasks: int) -> DataFrame:
+    """(shard, chunk, n, values): log10 probabilities (single precision) of the grams of each chunk and shard, from the counts of all chunks."""
+
+    def pairs(batches):
+        for b in batches:
+            for n, codes, counts in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(unpacked(codes, n, np.uint64).view(np.int64)), pa.array(unpacked(counts, n, np.int64))], names=["code", "n"])
+
+    # at most 257 * 257 pairs
+    low = met.where("shard = -1").select("n", "codes", "counts").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    load = share(met.sparkSession, (low["code"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64)))
 
-def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, least_share: float = LEAST_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+    def answer(blobs):
+        lows, low_counts = load()
+        all_ = Merge(blobs)
+        code, total = all_.code[all_.total > 0], all_.total[all_.total > 0]
+        trie = Trie([*(_marginal(lows, low_counts, k) for k in range(min(order, 1) + 1)), *(_marginal(code, total, k) for k in range(2, order + 1))]) if len(lows) else None
+        logp = trie.log10(all_.code).astype(np.float32) if trie else np.full(len(all_.code), -np.log10(EDGE + 1), np.float32)
+        for chunk, n, codes, _ in blobs:
+            yield chunk, logp[np.searchsorted(all_.code, unpacked(codes, n, np.uint64))]
+
+    return answered(met.where("shard >= 0"), tasks, answer)
+
+
+def word_counts(met: DataFrame, tasks: int) -> DataFrame:
+    """(shard, chunk, n, values): training counts of the words of each chunk and shard; chunk -1 has the shard's tokens and distinct words."""
+
+    def answer(blobs):
+        all_ = Merge(blobs)
+        yield -1, np.array([all_.total.sum(), (all_.total > 0).sum()], np.int64)
+        for chunk, n, codes, _ in blobs:
+            yield chunk, all_.total[np.searchsorted(all_.code, unpacked(codes, n, np.uint64))]
+
+    return answered(met.where("shard < -1"), tasks, answer)
+
+
+def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     Rows whose crc32(doc_id) mod ``folds`` is not 0 are the training rows.
     Null and empty texts are one end token. Null ids count as the empty text
-    in the fold; repeated rows get a row each. An empty table gives an empty
-    result. The end of a text is coded as byte 0.
+    in the fold; repeated rows get a row each; other columns are not read. An
+    empty table gives an empty result. Both scores are of the text after
+    lower-casing A-Z; ``score`` is that of its bytes and its end.
     """
     spark = docs.sparkSession
     tune(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = chunked(docs.select("doc_id", "text"), folds)
-    words = cut(count_words(rows.where("train")))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(w): c for w, c in words.where(F.col("c") >= F.lit(max(word_share * total, 1))).collect()}
+    # two shards a chunk; a chunk of more has few grams for each
+    chunks = rows.count()
+    shards = min(max(1 << (2 * chunks - 1).bit_length(), 32), MAX_SHARDS) if chunks else 1
+    tasks = max(shards // 2, 1)
+    met = table(grams(rows, order, shards))
+    words = table(word_counts(met, tasks))
+
+    def sums(batches):
+        for b in batches:
+            x = np.array([unpacked(v, 2, np.int64) for v in b.column(0).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["n", "v"])
+
+    total, distinct = words.where("chunk = -1").select("values").mapInArrow(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
-    load = share(spark, head)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known_grams = probabilities(table(grams(rows, order)), order, least_share)
-
-    def scored_texts(left, right):
-        code, logp = right.column("code").to_numpy().view(np.uint64), right.column("logp").to_numpy()
-        sort = np.argsort(code)
-        code, logp = code[sort], logp[sort]
-        held, score = texts(left.column("text").combine_chunks()), []
-        for lo in range(0, len(held), 200):
-            own, lengths = codes_of(held[lo: lo + 200], order)
-            # long texts are scored in slices of bounded size
-            p = np.concatenate([logp[np.searchsorted(code, own[i: i + 2_000_000])] for i in range(0, len(own), 2_000_000)])
-            score.append(np.add.reduceat(p, np.cumsum(lengths) - lengths))
-        return left.select(["doc_id", "text"]).append_column("score", pa.array(np.concatenate(score) if score else np.zeros(0)))
-
-    with_score = rows.groupBy("chunk").cogroup(known_grams.groupBy("chunk")).applyInArrow(scored_texts, f"doc_id {kind}, text string, score double")
 
-    def run(batches):
-        logs = {w: float(np.log10(c + 0.1)) for w, c in load().items()}
-        names = ["doc_id", "n_tokens", "n_known", "base", "score", "tail"]
-        for b in batches:
-            rows = texts(b.column(1))
-            n, seen, sums, tails = [], [], [], []
-            for t in rows:
-                ts = tokens(t)
-                rare, s, k = Counter(), 0.0, 0
-                for w, c in Counter(ts).items():
-                    x = logs.get(w)
-                    if x is None:
-                        rare[w] = c
-                    else:
-                        s += c * (x - scale)
-                        k += c
-                n.append(len(ts))
-                seen.append(k)
-                sums.append(s)
-                tails.append([{"w": w, "c": c} for w, c in rare.items()])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()),
-                 b.column(2), pa.array(tails, pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())])))], names=names)
-
-    scored = cut(with_score.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<w:binary,c:long>>")
-                 ).withColumn("row", F.monotonically_increasing_id())
-    rare = (scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.w").alias("word"), F.col("t.c").alias("k"))
-            .join(words, "word", "left")
-            .groupBy("row").agg(F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - scale)).alias("more"),
-                                F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also")))
-    return scored.join(rare, "row", "left").select(
-        "doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    def scored(left, right):
+        ids, train, sizes = (left.column(x).combine_chunks().flatten() for x in ("ids", "train", "sizes"))
+        own, train = texts_of(sizes.to_pylist(), left.column("texts")[0].as_py()), np.array(train.to_pylist(), bool)
+        got = sorted(zip(*(right.column(x).to_pylist() for x in ("shard", "n", "values"))), key=lambda x: (x[0] < 0, abs(x[0])))
+        # both in the order in which the chunk has sent them
+        logp = np.concatenate([unpacked(v, n, np.float32) for s, n, v in got if s >= 0])
+        counts = np.concatenate([unpacked(v, n, np.int64) for s, n, v in got if s < 0])
+        code, _, _ = grams_of(own, train, order, shards)
+        index, score = Index(code), np.zeros(len(own))
+        for c, row in coded(own, order):
+            score += np.bincount(row, logp[index.find(c)], len(own))
+        *_, at, size = words_of(own, train, shards)
+        first = np.cumsum(size) - size
+        known, base = (np.add.reduceat(x[at], first) for x in ((counts > 0).astype(np.int64), np.log10(counts + 0.1)))
+        return pa.table([ids, pc.invert(pa.array(train)), pa.array(size), pa.array(known), pa.array(base - size * scale), pa.array(score)],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    back = probabilities(met, order, tasks).unionByName(words.where("chunk >= 0"))
+    out = cut(rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    forget(rows, met, words)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_ppm_scores(spark, sf_dir):
