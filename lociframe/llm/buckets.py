@@ -64,10 +64,10 @@ def grouped(batches, n_key: int = 3):
 def components(near: np.ndarray) -> np.ndarray:
     """Smallest index that each row of a boolean adjacency matrix reaches."""
     n = len(near)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     near = near | np.eye(n, dtype=bool)
     while True:
-        new = np.where(near, label[None, :], n).min(1)
+        new = np.where(near, label[None, :], np.int32(n)).min(1)
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label

@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.llm.bits import counted, majority
 from lociframe.llm.buckets import BLOCK, components, grouped, units
-from lociframe.llm.common import fresh, read, texts, tune
+from lociframe.llm.common import fresh, read, sieve, texts, tune
 from lociframe.llm.similar import labelled
 from lociframe.operators.graph import connected_components
 from lociframe.session import cut
@@ -33,7 +34,6 @@ MAX_PARTITIONS = 14
 KEY_US = 4.0
 PAIR_US = 0.01 + 2 * KEY_US / BLOCK
 SHINGLES_AT_ONCE = 50_000
-_MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> list:
@@ -48,16 +48,8 @@ def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> list:
     starts, ends = starts[:n].tolist(), ends[min(shingle, len(ws)) - 1:].tolist()
     total, digest = np.zeros((words, 64), np.int64), xxhash.xxh64_intdigest
     for lo in range(0, n, SHINGLES_AT_ONCE):
-        h = np.array([digest(flat[s:e], 42) for s, e in zip(starts[lo: lo + SHINGLES_AT_ONCE], ends[lo: lo + SHINGLES_AT_ONCE])], np.uint64)
-        for j in range(words):
-            x = h
-            if j:
-                x = (h ^ np.uint64(_MIX[j])) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(29)
-            total[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits((2 * total > n).astype(np.uint8), axis=1, bitorder="little")
-    return [int(v) for v in bits.view("<i8").reshape(-1)]
+        total += counted(np.array([digest(flat[s:e], 42) for s, e in zip(starts[lo: lo + SHINGLES_AT_ONCE], ends[lo: lo + SHINGLES_AT_ONCE])], np.uint64), words)
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
@@ -210,7 +202,8 @@ def _labelled(prints: DataFrame, shown: F.Column, words: int, radius: int, verif
     classes = cut(prints.groupBy(mark.alias("id"), *names).agg(F.min(shown).alias("low")))
     comp = connected_components(links(classes, words, radius, verify))
     whole = classes.join(comp, classes["id"] == comp["node"], "left").select("id", "low", F.coalesce("component", "id").alias("c"))
-    lows = whole.groupBy("c").agg(F.min("low").alias("least"))
+    # on its own first, so that the join may split a component of very many classes
+    lows = cut(whole.groupBy("c").agg(F.min("low").alias("least")))
     label = whole.join(lows, "c").select("id", "least")
     return prints.withColumn("id", mark).join(label, "id")
 
@@ -240,12 +233,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     of ``percent`` / 100 or more. All columns are kept. Of rows that agree in
     id and text one stays.
     """
+    none = F.lit(-(2 ** 63))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     k, h = fresh(docs, "__k"), fresh(docs, "__h")
-    stay = labelled(docs, me, shingle, percent).where(me == F.col("least")).select(
-        F.coalesce("doc_id", F.lit(-(2 ** 63))).alias(k), F.col("th").alias(h)).distinct()
-    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2 ** 63)))).withColumn(h, F.xxhash64("text"))
-    return keyed.join(stay, [k, h], "left_semi").dropDuplicates([k, h]).select(*docs.columns)
+    rows = labelled(docs, me, shingle, percent).select(F.coalesce("doc_id", none).alias(k), F.col("th").alias(h), (me == F.col("least")).alias("stay"))
+    # (id, text) pairs that go or are repeated; the rows of all others stay without a shuffle
+    some = cut(rows.groupBy(k, h).agg(F.min("stay").alias("stay"), F.count("*").alias("n")).where("n > 1 OR NOT stay"))
+    doubt = sieve(some, k, h)
+    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), none)).withColumn(h, F.xxhash64("text"))
+    kept = keyed.where(~doubt(k, h))
+    asked = keyed.where(doubt(k, h)).join(some.where("NOT stay"), [k, h], "left_anti")
+    again = some.where("stay").select(k, h)
+    once = asked.join(again, [k, h], "left_semi").dropDuplicates([k, h])
+    return kept.unionByName(asked.join(again, [k, h], "left_anti")).unionByName(once).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir):

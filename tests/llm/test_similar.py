@@ -58,3 +58,39 @@ def test_large_group_of_near_copies(spark):
     rows = [" ".join(edited(base, 0.02, r)) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     assert {x.doc_id for x in one_of_each(df, **STAGE).collect()} == brute(rows)
+
+
+def test_group_under_the_threshold_in_blocks(spark, monkeypatch):
+    """Many texts of similarity around 0.8 in one home, in blocks of a few."""
+    from lociframe.llm import buckets, similar
+    from lociframe.llm.simhash import STAGE, one_of_each
+
+    monkeypatch.setattr(similar, "HOME", 8)
+    monkeypatch.setattr(buckets, "BLOCK", 8)
+    r = random.Random(10)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(edited(base, r.choice([0.02, 0.03, 0.04]), r)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert 10 < len(want) < 110
+    assert {x.doc_id for x in one_of_each(df, **STAGE).collect()} == want
+
+
+def test_common_counts():
+    import numpy as np
+
+    from lociframe.llm.similar import common
+
+    r = np.random.default_rng(3)
+    own = [np.unique(r.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 500, 5000, 5000, 800)]
+    assert common(own).tolist() == [[len(np.intersect1d(a, b)) if i != j else common(own)[i, i] for j, b in enumerate(own)] for i, a in enumerate(own)]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None)], [(None, "", "x"), (None, "", "x"), (1, "a b", "y"), (1, "a b", "z"), (2, "A  b", "z")]])
+def test_odd_tables(spark, rows):
+    from lociframe.llm.simhash import STAGE, one_of_each
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k string")
+    got = one_of_each(df, **STAGE)
+    assert got.columns == df.columns
+    assert sorted((x[0] is not None, x[0] or 0) for x in got.collect()) == {0: [], 1: [(False, 0)], 5: [(False, 0), (True, 1)]}[len(rows)]
