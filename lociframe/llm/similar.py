@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.llm.bits import counted, majority
@@ -26,8 +26,9 @@ from lociframe.session import cut, forget, table
 #: Texts of the sample, its shingles that come last (shown ``OFTEN`` times or more) at most; the order only.
 SAMPLE, OFTEN, LAST = 4_000, 3, 200_000
 SHINGLES_AT_ONCE = 50_000
-#: Sets of a block of a home, in expectation; rows of what buckets ask to be compared that a task holds to drop repeats.
-HOME, TOLD = 1024, 400_000
+#: Weight of a block of sets, which a last part may exceed by half; shingles that weigh as much as a set; rows of what buckets ask
+#: to be compared that a task holds to drop repeats.
+HOME, HEAVY, TOLD = 1024, 1024, 400_000
 #: SimHash words of a set, and the differing bits of them from which a pair is not compared in full. Sets of similarity 0.8
 #: differ in 39 (many shingles) to 48 (four and five) bits on average, with a deviation of about 6: ``FAR`` is more than 6 of them beyond.
 WORDS, FAR = 4, 88
@@ -174,15 +175,34 @@ def common(sets: list) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def placed(homes: DataFrame, ties: DataFrame) -> DataFrame:
+    """(id, block) of sets (id, n, home): blocks of full weight ``HOME``, whatever the homes' sizes.
+
+    Homes that ``ties`` (src, dst) join are one field. A field's homes, large
+    ones in parts, are dealt into blocks one after another, so a group whose
+    sets name many small homes still has as few blocks as its weight asks for.
+    """
+    weight = F.lit(1) + F.floor(F.col("n") / F.lit(HEAVY)).cast("long")
+    homes = cut(homes.select("id", "home", weight.alias("w")))
+    field = connected_components(ties)
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("w") * 2 / F.lit(HOME)).alias("__parts"))
+    dealt = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("id", F.lit(HOME)), F.col("__parts"))).drop("__parts")
+    whole = dealt.groupBy("home", "part").agg(F.sum("w").alias("w")).join(field, F.col("home") == F.col("node"), "left").withColumn("field", F.coalesce("component", "home"))
+    before = F.sum("w").over(Window.partitionBy("field").orderBy("home", "part")) - F.col("w")
+    blocks = cut(whole.select("home", "part", F.xxhash64("field", F.floor(before / F.lit(HOME))).alias("block")))
+    return cut(dealt.join(blocks, ["home", "part"]).select("id", "block"))
+
+
 def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (src, dst) of set ids whose components are those of all pairs of similarity ``percent`` / 100 or more.
 
     What a bucket's own star does not join meets pairwise in blocks, which say
     only where sets have to be compared: each set has a home (of the heads that it
-    is likely to be like, that of its largest bucket; or itself), a home is cut into
-    blocks of ``HOME``, and two blocks with likely partners are a unit, in which all
+    is likely to be like, that of its largest bucket; or itself), homes are packed
+    into blocks, and two blocks with likely partners are a unit, in which all
     sets are compared in whole. So a group of near copies that are not similar
-    enough is compared in units of bounded size, without a row for each pair.
+    enough is compared in units of bounded size, without a row for each pair, and
+    a unit tells one link for each component that it joins to another.
     """
     limit = far(percent)
     classes = table(marks.drop("doc_id", "th").dropDuplicates(["id"]))
@@ -197,13 +217,14 @@ def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> Data
             .select(F.col("h_id").alias("src"), F.col("id").alias("dst")).distinct())
     near = _verified(star, docs, marks, shingle, percent)
     comp = connected_components(near)
-    home = met.where(apart("", "h_") < limit).groupBy("id").agg(F.max(F.struct("h_size", "h_id"))["h_id"].alias("home"))
-    blocks = cut(home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(HOME)).cast("int").alias("__blocks")))
-    placed = (home.join(blocks, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit(HOME)), F.col("__blocks"))).alias("block"))
-              .join(comp, F.col("id") == F.col("node"), "left").select("id", "block", F.coalesce("component", "id").alias("c")))
-    known = table(shared.join(cut(placed), "id", "left").withColumns({"block": F.coalesce("block", F.xxhash64("id")), "c": F.coalesce("c", "id")}))
-    many = cut(known.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi")).where("__lo < __hi").select("key"))
-    ready = units(known.join(many, "key", "left_semi"), "key", "id").select("key", "__a", "__b", "__own", "id", "n", "c", "block", *FACES)
+    joined = table(shared.join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component"))
+    many = cut(joined.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi")).where("__lo < __hi").select("key"))
+    live = cut(joined.join(many, "key", "left_semi").select("id", "n", "c").distinct())
+    likely = cut(met.where(apart("", "h_") < limit).join(live.select("id"), "id").groupBy("id", "h_id").agg(F.max("h_size").alias("h_size")))
+    home = likely.groupBy("id").agg(F.max(F.struct("h_size", "h_id"))["h_id"].alias("home"))
+    blocks = placed(live.join(home, "id", "left").select("id", "n", F.coalesce("home", "id").alias("home")), likely.select(F.col("id").alias("src"), F.col("h_id").alias("dst")))
+    known = table(joined.join(many, "key", "left_semi").join(blocks, "id"))
+    ready = units(known, "key", "id").select("key", "__a", "__b", "__own", "id", "n", "c", "block", *FACES)
 
     def meet(batches):
         out, size = [], 0
@@ -238,26 +259,23 @@ def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> Data
             yield from told()
 
     asked = ready.mapInArrow(meet, "p long, q long").distinct()
-    live = known.join(many, "key", "left_semi").select("id", "block").distinct()
-    asked = cut(asked.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block")).join(live, "block").select("p", "q", "id"))
+    asked = cut(asked.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block")).join(live.join(blocks, "id"), "block").select("p", "q", "id", "c"))
     found = _sets(asked.select("id").distinct(), docs, marks, shingle)
-    loaded = asked.join(found, "id").select("p", "q", "id", "own").repartition("p", "q").sortWithinPartitions("p", "q", "id")
+    loaded = asked.join(found, "id").select("p", "q", "id", "c", "own").repartition("p", "q").sortWithinPartitions("p", "q", "id")
 
     def verify(batches):
         for t, edge in grouped(batches, 2):
-            ids = t.column(2).to_numpy()
-            src, dst = [], []
+            c = t.column(3).to_numpy()
             for lo, hi in zip(edge[:-1], edge[1:]):
-                own = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(3)[lo:hi]]
-                size = np.array([len(x) for x in own])
-                root = components(common(own) * (100 + percent) >= percent * (size[:, None] + size[None, :]))
-                moved = np.flatnonzero(root != np.arange(len(root)))
-                src.append(ids[lo:hi][root[moved]])
-                dst.append(ids[lo:hi][moved])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+                own = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(4)[lo:hi]]
+                size, one = np.array([len(x) for x in own]), c[lo:hi]
+                near = common(own) * (100 + percent) >= percent * (size[:, None] + size[None, :])
+                root = one[components(near | (one[:, None] == one[None, :]))]
+                told = np.unique(np.column_stack([root, one])[root != one], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(told[:, k])) for k in range(2)], names=["src", "dst"])
 
     out = cut(near.unionByName(loaded.mapInArrow(verify, "src long, dst long")))
-    forget(classes, shared, known, found)
+    forget(classes, shared, joined, known, found)
     return out
 
 

@@ -94,3 +94,29 @@ def test_odd_tables(spark, rows):
     got = one_of_each(df, **STAGE)
     assert got.columns == df.columns
     assert sorted((x[0] is not None, x[0] or 0) for x in got.collect()) == {0: [], 1: [(False, 0)], 5: [(False, 0), (True, 1)]}[len(rows)]
+
+
+def test_small_homes_of_a_field_share_blocks(spark):
+    """Blocks follow the weight of what is tied, not the number of homes; a heavy set weighs more, untied homes stay apart."""
+    from lociframe.llm.similar import HEAVY, HOME, placed
+
+    homes = [(i, 100, 10_000 + i // 3) for i in range(3 * HOME)] + [(50_000 + i, HEAVY * HOME, 60_000) for i in range(4)] + [(70_000, 5, 70_000), (70_001, 5, 70_001)]
+    ties = [(i, 10_000 + i // 3) for i in range(3 * HOME)] + [(10_000 + i, 10_001 + i) for i in range(HOME - 1)] + [(50_000 + i, 60_000) for i in range(4)]
+    got = {r.id: r.block for r in placed(spark.createDataFrame(homes, "id long, n long, home long"), spark.createDataFrame(ties, "src long, dst long")).collect()}
+    assert set(got) == {h[0] for h in homes}
+    assert len({got[i] for i in range(3 * HOME)}) == 3
+    assert len({got[50_000 + i] for i in range(4)}) > 1
+    assert got[70_000] != got[70_001]
+
+
+def test_units_tell_each_joined_component_once(spark, monkeypatch):
+    """In blocks of a few: links do not repeat what is joined already, unit by unit."""
+    from lociframe.llm import similar
+
+    monkeypatch.setattr(similar, "HOME", 8)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(edited(base, r.choice([0.02, 0.03, 0.04]), r)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    found = similar.links(df, similar.table(similar.prints(df, 5, 80)), 5, 80)
+    assert found.count() < 2 * len(rows)
