@@ -11,6 +11,7 @@ spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lociframe.llm.bits import counted, majority
 from lociframe.llm.buckets import BLOCK, components, grouped, units
 from lociframe.llm.common import fresh, read, sieve, texts, tune
-from lociframe.llm.similar import labelled
+from lociframe.llm.similar import FACES, labelled
 from lociframe.operators.graph import connected_components
 from lociframe.session import cut
 
@@ -224,19 +225,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
 
 #: The corpus pipeline's near-dedup: exact similarity of five-word shingle sets, 0.8 or more.
 STAGE = {"shingle": 5, "percent": 80}
+#: Differing bits of any one SimHash word up to which the pigeonhole probe proposes a pair of sets.
+PROBE = 4
+
+
+def probed(sets: DataFrame) -> DataFrame:
+    """Spanning links (src, dst) of sets (id, f0, ...) that are within ``PROBE`` bits in some word, each word probed in its own partitions."""
+    found = [links(sets.select("id", F.col(f).alias("f0")), 1, PROBE) for f in FACES]
+    return reduce(DataFrame.unionByName, found)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, null ids last.
 
     Two texts link when their sets of word shingles have a Jaccard similarity
-    of ``percent`` / 100 or more. All columns are kept. Of rows that agree in
-    id and text one stays.
+    of ``percent`` / 100 or more. The pigeonhole probe of their SimHash words
+    proposes the closest pairs; what lies beyond its radius is found by common
+    shingles, and whole sets decide on either. All columns are kept. Of rows
+    that agree in id and text one stays.
     """
     none = F.lit(-(2 ** 63))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     k, h = fresh(docs, "__k"), fresh(docs, "__h")
-    rows = labelled(docs, me, shingle, percent).select(F.coalesce("doc_id", none).alias(k), F.col("th").alias(h), (me == F.col("least")).alias("stay"))
+    rows = labelled(docs, me, shingle, percent, probed).select(F.coalesce("doc_id", none).alias(k), F.col("th").alias(h), (me == F.col("least")).alias("stay"))
     # (id, text) pairs that go or are repeated; the rows of all others stay without a shuffle
     some = cut(rows.groupBy(k, h).agg(F.min("stay").alias("stay"), F.count("*").alias("n")).where("n > 1 OR NOT stay"))
     doubt = sieve(some, k, h)

@@ -5,8 +5,9 @@ more share one of their first ``prefix`` shingles, so the buckets of these
 shingles hold every such pair. Shingles that a sample of the texts often shows
 come last in the order. This shortens buckets and decides no link. Pairs that
 meet are compared by 256-bit SimHash first (``FAR``) and those that are left by
-their whole sets. Each bucket first links its members to one of them; what
-those links have not joined is compared in units of bounded size.
+their whole sets. First come the pairs that a ``probe`` of the SimHash words
+proposes and each bucket's links to one of its members; what those have not
+joined is compared in units of bounded size.
 """
 
 from __future__ import annotations
@@ -193,10 +194,12 @@ def placed(homes: DataFrame, ties: DataFrame) -> DataFrame:
     return cut(dealt.join(blocks, ["home", "part"]).select("id", "block"))
 
 
-def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int, probe=None) -> DataFrame:
     """Links (src, dst) of set ids whose components are those of all pairs of similarity ``percent`` / 100 or more.
 
-    What a bucket's own star does not join meets pairwise in blocks, which say
+    ``probe`` proposes pairs (src, dst) of the sets (id, f0, ...); like those of each
+    bucket's star they link once their whole sets say so.
+    What these do not join meets pairwise in blocks, which say
     only where sets have to be compared: each set has a home (of the heads that it
     is likely to be like, that of its largest bucket; or itself), homes are packed
     into blocks, and two blocks with likely partners are a unit, in which all
@@ -214,8 +217,10 @@ def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> Data
                 .select("key", "h_size", *(F.col("h." + c).alias("h_" + c) for c in ("n", "id", *FACES))))
     met = shared.join(heads, "key")
     star = (met.where((F.col("id") != F.col("h_id")) & (F.col("h_n") * 100 >= F.col("n") * percent) & (apart("", "h_") < limit))
-            .select(F.col("h_id").alias("src"), F.col("id").alias("dst")).distinct())
-    near = _verified(star, docs, marks, shingle, percent)
+            .select(F.col("h_id").alias("src"), F.col("id").alias("dst")))
+    if probe:
+        star = star.unionByName(probe(classes.where("n > 0").select("id", *FACES)))
+    near = _verified(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), docs, marks, shingle, percent)
     comp = connected_components(near)
     joined = table(shared.join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component"))
     many = cut(joined.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi")).where("__lo < __hi").select("key"))
@@ -279,10 +284,10 @@ def links(docs: DataFrame, marks: DataFrame, shingle: int, percent: int) -> Data
     return out
 
 
-def labelled(docs: DataFrame, shown, shingle: int, percent: int) -> DataFrame:
+def labelled(docs: DataFrame, shown, shingle: int, percent: int, probe=None) -> DataFrame:
     """(doc_id, th, least) for each row of ``docs``: ``least`` is the smallest ``shown`` value of its component."""
     marks = table(prints(docs, shingle, percent))
-    comp = connected_components(links(docs, marks, shingle, percent))
+    comp = connected_components(links(docs, marks, shingle, percent, probe))
     whole = marks.groupBy("id").agg(F.min(shown).alias("low")).join(comp, F.col("id") == F.col("node"), "left").select("id", "low", F.coalesce("component", "id").alias("c"))
     # on its own first, so that the join may split a component of very many classes
     lows = cut(whole.groupBy("c").agg(F.min("low").alias("least")))

@@ -120,3 +120,25 @@ def test_units_tell_each_joined_component_once(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     found = similar.links(df, similar.table(similar.prints(df, 5, 80)), 5, 80)
     assert found.count() < 2 * len(rows)
+
+
+def test_stage_probes_fingerprints_by_pigeonhole(spark, near, monkeypatch):
+    """The stage asks the pigeonhole probe, which proposes the pairs close in some SimHash word; whole sets decide."""
+    from lociframe.llm import simhash
+
+    asked, probe = [], simhash.probed
+
+    def probed(sets):
+        found = probe(sets)
+        asked.append(([tuple(r) for r in sets.collect()], {tuple(sorted(r)) for r in found.collect()}))
+        # a proposal of two unlike sets must not link them
+        one, two = sorted(r[0] for r in asked[0][0])[:2]
+        return found.unionByName(spark.createDataFrame([(one, two)], "src long, dst long"))
+
+    monkeypatch.setattr(simhash, "probed", probed)
+    df = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.one_of_each(df, **simhash.STAGE).collect()} == brute(near)
+    (rows, found), = asked
+    rows.sort()
+    want = {(a[0], b[0]) for j, b in enumerate(rows) for a in rows[:j] if any(((x ^ y) & (2 ** 64 - 1)).bit_count() <= simhash.PROBE for x, y in zip(a[1:], b[1:]))}
+    assert len(want) > 10 and found == want
