@@ -29,10 +29,10 @@ def rc(seq: Column | str) -> Column:
 
 
 def gc_bin(seq: Column | str, bins: int) -> Column:
-    """Bin 0..bins-1 of the share of G and C; null for an empty sequence."""
-    s = F.upper(col(seq))
-    share = F.regexp_count(s, F.lit("[GC]")) / F.nullif(F.length(s), F.lit(0))
-    return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+    """Bin 0..bins-1 of the share of G and C; null for an empty sequence. The length is that of the text itself: some letters grow in upper case."""
+    n = F.length(col(seq))
+    share = F.regexp_count(F.upper(col(seq)), F.lit("[GC]")) / F.nullif(n, F.lit(0))
+    return F.when(n > 0, F.least(F.floor(share * bins), F.lit(bins - 1))).cast("int")
 
 
 def phred_of_rate(rate: Column | str) -> Column:

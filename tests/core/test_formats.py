@@ -125,3 +125,8 @@ def test_sequences(spark):
     chunks = genome.chunked(spark.createDataFrame([("c", "ACGTACGTAA")], "name string, seq string"), 4)
     tx = spark.createDataFrame([("a", "c", "-", [(2, 5), (8, 9)]), ("b", "c", "+", [(1, 10)])], f"name string, chr string, strand string, exons {T.EXONS}")
     assert {r.name: r.seq for r in genome.spliced(tx, chunks, 4).collect()} == {"a": "TATACG", "b": "ACGTACGTAA"}
+
+
+def test_gc_bin_takes_the_length_of_the_text_itself(spark):
+    df = spark.createDataFrame([("gßßß",), ("GCat",), ("",)], "s string")
+    assert [r[0] for r in df.select(S.gc_bin("s", 20)).collect()] == [5, 10, None]
