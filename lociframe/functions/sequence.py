@@ -23,6 +23,11 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` as an expression that computes ``value`` once, however often ``body`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rc(seq: Column | str) -> Column:
     """Reverse complement; characters without a complement stay."""
     return F.reverse(F.translate(col(seq), BASES, COMPLEMENTS))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociframe.functions.sequence import let, once
 from lociframe.functions.transcripts import EXONS, exons_of
 
 LINE = "value"
@@ -29,7 +30,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fields(df: DataFrame, sep: str = "\t", limit: int = -1) -> DataFrame:
-    return df.where(F.col(LINE) != "").withColumn("__f", F.split(F.regexp_replace(LINE, r"[\r\n]+$", ""), sep, limit))
+    """``df`` with a line's fields as ``__f``, which is split once for all that reads it."""
+    return df.where(F.col(LINE) != "").withColumn("__f", once(F.split(F.regexp_replace(LINE, r"[\r\n]+$", ""), sep, limit)))
 
 
 def _at(i: int) -> Column:
@@ -138,8 +140,8 @@ def parse_gpd(df: DataFrame) -> DataFrame:
 
 def last_of_each(pairs: Column) -> Column:
     """Map of (k, v) pairs; of a repeated key the last value stays, null keys go."""
-    last = F.filter(pairs, lambda p, i: p["k"].isNotNull() & ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda all: F.filter(all, lambda p, i: p["k"].isNotNull() & ~F.exists(F.slice(all, i + 2, F.size(all)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(let(pairs, last))
 
 
 def attributes(text: Column | str) -> Column:
@@ -154,7 +156,7 @@ def parse_gtf(df: DataFrame) -> DataFrame:
     f = fields(df).where((F.size("__f") >= 9) & ~F.col(LINE).startswith("#"))
     own = lambda i: F.nullif(_at(i), F.lit("."))
     cols = [(_long(own(i)) if n in ("start", "end") else own(i)).alias(n) for i, n in enumerate(GTF)]
-    return f.select(*cols, attributes(_at(8)).alias("attribute"))
+    return f.select(*cols, once(attributes(_at(8))).alias("attribute"))
 
 
 def gtf_transcripts(gtf: DataFrame, gene: str = "gene_id", transcript: str = "transcript_id") -> DataFrame:
@@ -173,7 +175,7 @@ def parse_gff3(df: DataFrame) -> DataFrame:
     cols = [(_long(own(i)) if n in ("start", "end") else own(i)).alias(n) for i, n in enumerate(GTF)]
     pairs = F.transform(F.filter(F.split(_at(8), ";"), lambda x: F.instr(x, "=") > 0),
                         lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v")))
-    return f.select(*cols, last_of_each(pairs).alias("attribute"))
+    return f.select(*cols, once(last_of_each(pairs)).alias("attribute"))
 
 
 def gff3_transcripts(gff: DataFrame) -> DataFrame:

@@ -130,3 +130,13 @@ def test_sequences(spark):
 def test_gc_bin_takes_the_length_of_the_text_itself(spark):
     df = spark.createDataFrame([("gßßß",), ("GCat",), ("",)], "s string")
     assert [r[0] for r in df.select(S.gc_bin("s", 20)).collect()] == [5, 10, None]
+
+
+def test_attributes_are_parsed_once_for_all_that_reads_them(spark):
+    from lociframe.operators import counting
+
+    lines = spark.createDataFrame([('c\ta\ttranscript\t1\t9\t.\t+\t.\tgene_id "g"; gene_id "h"; transcript_id "t"; TPM "2"; cov "3";',)], "value string")
+    df = counting.assembled_expression(text.parse_gtf(lines))
+    # the rows and the sums by gene, two groups of one expression each
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+    assert [tuple(r) for r in df.collect()] == [("h", "t", 2.0, 2.0, 3.0, None)]
