@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,6 +157,53 @@ def blocks_exons(blocks: Column | str, min_intron: int = MIN_INTRON) -> Column:
     return smooth(F.transform(col(blocks), lambda x: F.struct(x["t_start"].alias("start"), x["t_end"].alias("end"))), min_intron, absorb=True)
 
 
+def exons_of_cigars(pos: pa.Array, cigars: pa.Array, min_intron: int = MIN_INTRON) -> pa.Array:
+    """Exons of a batch of alignments, as ``blocks_exons`` of ``cigar_blocks``, by steps over the bytes of all its CIGARs at once."""
+    text = cigars.cast(pa.large_string()).combine_chunks() if isinstance(cigars, pa.ChunkedArray) else cigars.cast(pa.large_string())
+    rows, none = len(text), np.asarray(text.is_null())
+    bounds = np.frombuffer(text.buffers()[1], np.int64, rows + 1, text.offset * 8)
+    first, data = int(bounds[0]), np.frombuffer(text.buffers()[2] or b"", np.uint8)[int(bounds[0]): int(bounds[-1])]
+    bounds = bounds - first
+    digit = (data >= 48) & (data <= 57)
+    # an operation: a letter right after a digit of its own row
+    ahead = np.zeros(len(data), bool)
+    ahead[1:] = digit[:-1]
+    ahead[bounds[:-1][bounds[:-1] < len(data)]] = False
+    at = np.flatnonzero(ahead & np.isin(data, np.frombuffer(b"MIDNSHP=X", np.uint8)))
+    row = np.searchsorted(bounds, at, "right") - 1
+    # its number: the run of digits before it, from the end of the last byte that is none or of the row before
+    stop = np.maximum.accumulate(np.where(digit, -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    low = np.maximum(np.where(at >= 2, stop[np.maximum(at - 1, 0)], -1) + 1, bounds[row])
+    n = np.zeros(len(at), np.int64)
+    for k in range(int((at - low).max(initial=0))):
+        n = np.where(low + k < at, n * 10 + data[np.minimum(low + k, at - 1)] - 48, n)
+    op = data[at]
+    both = (op == 77) | (op == 61) | (op == 88)
+    moved = np.cumsum(np.where(both | (op == 68) | (op == 78), n, 0))
+    before = np.concatenate([[0], moved])
+    placed = np.asarray(pos.cast(pa.int64()).fill_null(0))
+    t = placed[row] + before[:-1] - before[np.searchsorted(row, row)]
+    t, m, row = t[both], n[both], row[both]
+    end = t + m - 1
+    lost = np.asarray(pos.is_null())
+    new = np.ones(len(t), bool)
+    # without a place no gap is known and nothing is closed
+    new[1:] = (row[1:] != row[:-1]) | (t[1:] - end[:-1] - 1 >= min_intron) | lost[row[1:]]
+    starts = np.flatnonzero(new)
+    lasts = np.append(starts[1:], len(t))[: len(starts)] - 1
+    unknown = lost[row[starts]]
+    exons = pa.StructArray.from_arrays([pa.array(t[starts], mask=unknown), pa.array(end[lasts], mask=unknown)], ["start", "end"])
+    counts = np.bincount(row[starts], minlength=rows)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(none, False)), exons)
+
+
+def cigar_exons(pos: Column | str, cigar: Column | str, min_intron: int = MIN_INTRON) -> Column:
+    """``blocks_exons`` of ``cigar_blocks``, computed by batches of rows: what alignments become exons by."""
+    run = F.arrow_udf(lambda p, c: exons_of_cigars(p, c, min_intron), "array<struct<start:bigint,end:bigint>>")
+    return run(col(pos).cast("bigint"), col(cigar))
+
+
 def has_junction(cigar: Column | str, overhang: int = 1, min_intron: int = MIN_INTRON) -> Column:
     """Whether an intron has ``overhang`` aligned bases or more on both sides."""
     ops = cigar_ops(cigar)

@@ -74,7 +74,7 @@ def insert_sizes(sam: DataFrame) -> DataFrame:
 def junction_reads(sam: DataFrame, least: int = 2, min_intron: int = S.MIN_INTRON, overhang: int = 1) -> DataFrame:
     """Rows with an intron of enough overhang that have a junction which ``least`` rows or more have."""
     rows = aligned(sam).where(F.instr("cigar", "N") > 0).where(S.has_junction("cigar", overhang, min_intron))
-    own = rows.withColumn("__e", S.once(S.blocks_exons(S.cigar_blocks("pos", "cigar"), min_intron))).withColumn("__j", T.junctions(F.col("__e"))).drop("__e")
+    own = rows.withColumn("__e", S.cigar_exons("pos", "cigar", min_intron)).withColumn("__j", T.junctions(F.col("__e"))).drop("__e")
     places = own.select("rname", F.explode("__j").alias("j")).groupBy("rname", "j").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     # a read is joined by each of its junctions and comes back once
     marked = own.withColumn("__row", F.monotonically_increasing_id())

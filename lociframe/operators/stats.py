@@ -176,11 +176,16 @@ def junction_support(junctions: DataFrame, mapped: DataFrame) -> DataFrame:
     often apart. ``label``: ``(reads)[width_positions](unique/multi)``.
     """
     key = ["chr", "left", "right", "strand"]
-    per = junctions.groupBy(*key, "read").agg(F.min("right_size").alias("lo"), F.max("right_size").alias("hi")).join(mapped, "read")
-    reads = per.groupBy(*key).agg(F.count("*").alias("reads"), (F.max("hi") - F.min("lo")).alias("width"),
-                                  F.count_if(F.col("mappings") == 1).alias("unique_reads"), F.count_if(F.col("mappings") > 1).alias("multi_reads"))
-    places = junctions.groupBy(*key).agg(F.count_distinct("pos").alias("positions"))
-    return reads.join(places, key).withColumn("label", F.format_string("(%d)[%d_%d](%d/%d)", "reads", "width", "positions", "unique_reads", "multi_reads"))
+    # junctions may be costly to find: reads (kind 0) and positions (kind 1) are told apart in one pass over them
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("read").cast("string").alias("id"), F.col("right_size").alias("size")),
+                              F.struct(F.lit(1).alias("kind"), F.col("pos").cast("string").alias("id"), F.lit(None).cast("bigint").alias("size"))))
+    once = (junctions.select(*key, kinds.alias("k")).select(*key, "k.*").dropna(subset=[*key, "id"]).groupBy(*key, "kind", "id").agg(F.min("size").alias("lo"), F.max("size").alias("hi")))
+    known = mapped.select(F.lit(0).alias("kind"), F.col("read").cast("string").alias("id"), "mappings", F.lit(True).alias("known"))
+    of = lambda test: F.count_if((F.col("kind") == 0) & test)
+    m = F.col("mappings")
+    out = once.join(known, ["kind", "id"], "left").where("kind = 1 OR known").groupBy(*key).agg(
+        of(F.lit(True)).alias("reads"), (F.max("hi") - F.min("lo")).alias("width"), of(m == 1).alias("unique_reads"), of(m > 1).alias("multi_reads"), F.count_if(F.col("kind") == 1).alias("positions"))
+    return out.where("reads > 0").withColumn("label", F.format_string("(%d)[%d_%d](%d/%d)", "reads", "width", "positions", "unique_reads", "multi_reads"))
 
 
 def combine_junctions(tables: DataFrame) -> DataFrame:

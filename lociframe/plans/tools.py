@@ -37,8 +37,7 @@ def _tx(spark, path) -> DataFrame:
 def aligned_transcripts(sam: DataFrame, min_intron: int = S.MIN_INTRON) -> DataFrame:
     """Transcripts of aligned reads: gaps under ``min_intron`` closed."""
     rows = sam.select(F.col("qname").alias("gene_name"), F.col("qname").alias("name"), F.col("rname").alias("chr"),
-                      F.when(S.has_flag("flag", S.REVERSE), "-").otherwise("+").alias("strand"), S.once(S.cigar_blocks("pos", "cigar")).alias("blocks"))
-    rows = rows.select("gene_name", "name", "chr", "strand", S.once(S.blocks_exons("blocks", min_intron)).alias("exons"))
+                      F.when(S.has_flag("flag", S.REVERSE), "-").otherwise("+").alias("strand"), S.cigar_exons("pos", "cigar", min_intron).alias("exons"))
     return rows.where(F.size("exons") > 0).withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
 
 
@@ -270,7 +269,7 @@ def sam_to_psl(spark, path, fasta=None):
 
 def read_junctions(sam: DataFrame, min_intron: int = S.MIN_INTRON) -> DataFrame:
     """(chr, left, right, read, pos, right_size) of each intron of aligned reads."""
-    rows = sam.select("rname", "qname", "pos", S.once(S.cigar_blocks("pos", "cigar")).alias("blocks")).select("rname", "qname", "pos", S.once(S.blocks_exons("blocks", min_intron)).alias("e"))
+    rows = sam.select("rname", "qname", "pos", S.cigar_exons("pos", "cigar", min_intron).alias("e"))
     j = F.transform(T.junctions(F.col("e")), lambda x, i: F.struct(x["left"].alias("left"), x["right"].alias("right"),
                                                                    (F.get("e", i + 1)["end"] - F.get("e", i + 1)["start"] + 1).alias("right_size")))
     return (rows.select(F.col("rname").alias("chr"), F.col("qname").alias("read"), "pos", F.explode(j).alias("j")).select("chr", "j.*", "read", "pos"))

@@ -237,9 +237,9 @@ def _reads(spark, sf):
     q = F.col("l_quantity").cast("bigint")
     cigar = F.format_string("%dS%dM2I%dM%dN9M1D4M", F.col("l_linenumber"), q + 9, q + 1, q * 4)
     flag = F.when(F.col("l_returnflag") == "R", 16).otherwise(0)
-    return _t(spark, sf, "lineitem").select(F.format_string(
+    return _t(spark, sf, "lineitem").select(S.once(F.format_string(
         "r%d/%d\t%d\t%s\t%d\t%d\t%s\t*\t0\t0\t*\t*\tNH:i:%d", F.col("l_orderkey"), F.col("l_linenumber"), flag, F.col("l_linestatus"), F.col("l_orderkey") * 10 + 10, F.col("l_suppkey") % 60,
-        cigar, F.col("l_linenumber")).alias("value"))
+        cigar, F.col("l_linenumber"))).alias("value"))
 
 
 _READS = """q AS (SELECT 'r' || l_orderkey || '/' || l_linenumber AS qname, CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END::BIGINT AS flag, l_linestatus AS rname, l_orderkey * 10 + 10 AS pos,

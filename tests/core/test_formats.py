@@ -140,3 +140,28 @@ def test_attributes_are_parsed_once_for_all_that_reads_them(spark):
     # the rows and the sums by gene, two groups of one expression each
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
     assert [tuple(r) for r in df.collect()] == [("h", "t", 2.0, 2.0, 3.0, None)]
+
+
+def test_exons_of_batches_of_cigars_are_those_of_the_expressions(spark):
+    import random
+
+    from lociframe.plans.tools import read_junctions
+
+    r = random.Random(3)
+    odd = [(5, None), (None, "5M100N5M"), (7, ""), (9, "M5Q3M12M"), (1, "10M67N2M68N1M"), (3, "5"), (2, "0M70N4M"), (4, "é3M80N2M"), (6, "*"), (8, "12M34"), (9, "5M")]
+    data = odd + [(r.randrange(1, 999), "".join(f"{r.choice([1, 9, 67, 68, 120])}{r.choice('MIDNSHP=X')}" for _ in range(r.randrange(12)))) for _ in range(300)]
+    df = spark.createDataFrame([(f"r{i}", "c", *d) for i, d in enumerate(data)], "qname string, rname string, pos long, cigar string").repartition(3)
+    got = df.select("qname", S.cigar_exons("pos", "cigar").alias("a"), S.blocks_exons(S.cigar_blocks("pos", "cigar")).alias("b")).collect()
+    assert len(got) == len(data) and all(x.a == x.b for x in got)
+
+    # CIGARs are read in one pass for reads and for positions
+    plan = stats.junction_support(read_junctions(df).withColumn("strand", F.lit("+")), df.select(F.col("qname").alias("read"), F.lit(1).alias("mappings")))
+    text_of = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text_of.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in text_of
+
+
+def test_junction_support_of_reads_and_places(spark):
+    rows = [("c", 1, 9, "+", "a", 5, 10), ("c", 1, 9, "+", "a", 6, 12), ("c", 1, 9, "+", "b", 5, 30), ("c", 1, 9, "+", "lost", 7, 90), ("c", 2, 9, "+", "lost", 7, 9), ("c", 3, 9, None, "a", 7, 9), (None, 3, 9, "+", "a", 7, 9)]
+    j = spark.createDataFrame(rows, "chr string, left long, right long, strand string, read string, pos long, right_size long")
+    got = stats.junction_support(j, spark.createDataFrame([("a", 1), ("b", 3)], "read string, mappings long")).collect()
+    assert [(r.left, r.reads, r.width, r.unique_reads, r.multi_reads, r.positions, r.label) for r in got] == [(1, 2, 20, 1, 1, 3, "(2)[20_3](1/1)")]
