@@ -157,11 +157,10 @@ def blocks_exons(blocks: Column | str, min_intron: int = MIN_INTRON) -> Column:
     return smooth(F.transform(col(blocks), lambda x: F.struct(x["t_start"].alias("start"), x["t_end"].alias("end"))), min_intron, absorb=True)
 
 
-def exons_of_cigars(pos: pa.Array, cigars: pa.Array, min_intron: int = MIN_INTRON) -> pa.Array:
-    """Exons of a batch of alignments, as ``blocks_exons`` of ``cigar_blocks``, by steps over the bytes of all its CIGARs at once."""
+def ops_of_cigars(cigars: pa.Array) -> tuple:
+    """Operations of a batch of CIGARs, by steps over the bytes of all of them at once: numpy arrays of row, operation's byte and number."""
     text = cigars.cast(pa.large_string()).combine_chunks() if isinstance(cigars, pa.ChunkedArray) else cigars.cast(pa.large_string())
-    rows, none = len(text), np.asarray(text.is_null())
-    bounds = np.frombuffer(text.buffers()[1], np.int64, rows + 1, text.offset * 8)
+    bounds = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
     first, data = int(bounds[0]), np.frombuffer(text.buffers()[2] or b"", np.uint8)[int(bounds[0]): int(bounds[-1])]
     bounds = bounds - first
     digit = (data >= 48) & (data <= 57)
@@ -177,7 +176,13 @@ def exons_of_cigars(pos: pa.Array, cigars: pa.Array, min_intron: int = MIN_INTRO
     n = np.zeros(len(at), np.int64)
     for k in range(int((at - low).max(initial=0))):
         n = np.where(low + k < at, n * 10 + data[np.minimum(low + k, at - 1)] - 48, n)
-    op = data[at]
+    return row, data[at], n
+
+
+def exons_of_cigars(pos: pa.Array, cigars: pa.Array, min_intron: int = MIN_INTRON) -> pa.Array:
+    """Exons of a batch of alignments, as ``blocks_exons`` of ``cigar_blocks``."""
+    row, op, n = ops_of_cigars(cigars)
+    rows, none = len(cigars), np.asarray(cigars.is_null())
     both = (op == 77) | (op == 61) | (op == 88)
     moved = np.cumsum(np.where(both | (op == 68) | (op == 78), n, 0))
     before = np.concatenate([[0], moved])
@@ -204,6 +209,20 @@ def cigar_exons(pos: Column | str, cigar: Column | str, min_intron: int = MIN_IN
     return run(col(pos).cast("bigint"), col(cigar))
 
 
+def spliced(cigar: Column | str, overhang: int = 1, min_intron: int = MIN_INTRON) -> Column:
+    """``has_junction``, computed by batches of rows."""
+    def run(c: pa.Array) -> pa.Array:
+        row, op, n = ops_of_cigars(c)
+        upto = np.cumsum(np.where((op == 77) | (op == 61) | (op == 88), n, 0))
+        edge = np.concatenate([[0], upto])
+        left, right = upto - edge[np.searchsorted(row, row)], edge[np.searchsorted(row, row, "right")] - upto
+        good = np.zeros(len(c), bool)
+        good[row[(op == 78) & (n >= min_intron) & (left >= overhang) & (right >= overhang)]] = True
+        return pa.array(good, mask=np.asarray(c.is_null()))
+
+    return F.arrow_udf(run, "boolean")(col(cigar))
+
+
 def has_junction(cigar: Column | str, overhang: int = 1, min_intron: int = MIN_INTRON) -> Column:
     """Whether an intron has ``overhang`` aligned bases or more on both sides."""
     ops = cigar_ops(cigar)

@@ -73,13 +73,13 @@ def insert_sizes(sam: DataFrame) -> DataFrame:
 
 def junction_reads(sam: DataFrame, least: int = 2, min_intron: int = S.MIN_INTRON, overhang: int = 1) -> DataFrame:
     """Rows with an intron of enough overhang that have a junction which ``least`` rows or more have."""
-    rows = aligned(sam).where(F.instr("cigar", "N") > 0).where(S.has_junction("cigar", overhang, min_intron))
-    own = rows.withColumn("__e", S.cigar_exons("pos", "cigar", min_intron)).withColumn("__j", T.junctions(F.col("__e"))).drop("__e")
+    rows = aligned(sam).where(F.instr("cigar", "N") > 0)
+    own = (rows.withColumns({"__s": S.spliced("cigar", overhang, min_intron), "__e": S.cigar_exons("pos", "cigar", min_intron)}).where("__s")
+           .withColumn("__j", T.junctions(F.col("__e"))).drop("__s", "__e"))
     places = own.select("rname", F.explode("__j").alias("j")).groupBy("rname", "j").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # a read is joined by each of its junctions and comes back once
-    marked = own.withColumn("__row", F.monotonically_increasing_id())
-    good = (marked.select("__row", "rname", F.explode("__j").alias("j")).join(places, ["rname", "j"]).select("__row").distinct())
-    return marked.join(good, "__row", "left_semi").drop("__row", "__j")
+    # a read is joined by each of its junctions, with all its columns, and comes back once
+    each = own.withColumn("__row", F.monotonically_increasing_id()).select(*sam.columns, "__row", F.explode("__j").alias("j"))
+    return each.join(places, ["rname", "j"]).dropDuplicates(["__row"]).select(*sam.columns)
 
 
 def quality_grid(reads: DataFrame, lefts: list, rights: list, floors: list, limits: list, least_size: int = 1, offset: int = 33) -> DataFrame:

@@ -165,3 +165,19 @@ def test_junction_support_of_reads_and_places(spark):
     j = spark.createDataFrame(rows, "chr string, left long, right long, strand string, read string, pos long, right_size long")
     got = stats.junction_support(j, spark.createDataFrame([("a", 1), ("b", 3)], "read string, mappings long")).collect()
     assert [(r.left, r.reads, r.width, r.unique_reads, r.multi_reads, r.positions, r.label) for r in got] == [(1, 2, 20, 1, 1, 3, "(2)[20_3](1/1)")]
+
+
+def test_spliced_is_has_junction(spark):
+    import random
+
+    from lociframe.operators import counting
+
+    r = random.Random(5)
+    data = [(None,), ("",), ("5M68N5M",), ("68N5M",), ("5S68N5M",)] + [("".join(f"{r.choice([1, 9, 68])}{r.choice('MIDNS=')}" for _ in range(r.randrange(9))),) for _ in range(200)]
+    df = spark.createDataFrame(data, "c string").repartition(2)
+    assert all(x.a == x.b and x.d == x.e for x in df.select(S.spliced("c").alias("a"), S.has_junction("c").alias("b"), S.spliced("c", 9).alias("d"), S.has_junction("c", 9).alias("e")).collect())
+    sam = spark.createDataFrame([("a", 0, "c", 10, "5M70N5M70N5M", 1), ("b", 0, "c", 10, "5M70N5M70N5M", 2), ("d", 0, "c", 10, "5M80N5M", 3), ("a", 0, "c", 10, "5M70N5M", 1)],
+                                "qname string, flag long, rname string, pos long, cigar string, k int")
+    found = counting.junction_reads(sam, 2)
+    assert found.columns == sam.columns and sorted((x.qname, x.cigar) for x in found.collect()) == [("a", "5M70N5M"), ("a", "5M70N5M70N5M"), ("b", "5M70N5M70N5M")]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
