@@ -15,6 +15,7 @@ from lociframe.functions import sequence as S
 from lociframe.functions import transcripts as T
 from lociframe.operators import assembly, compare, genome, graph, intervals, overlap, selection, stats
 from lociframe.operators import simulation as sim
+from lociframe.session import spread
 from lociframe.sources import sinks, text
 from lociframe.streaming import loci
 
@@ -53,7 +54,7 @@ def spans(spark, sf):
 
 def transcripts(spark, sf):
     start = F.col("o_custkey") * 1000 + F.col("l_linenumber") * 60
-    rows = (_t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = (spread(_t(spark, sf, "lineitem"), "l_orderkey").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderpriority") < "3", "+").otherwise("-").alias("strand"), start.alias("start"),
                     (start + F.col("l_quantity").cast("bigint")).alias("end"))
             .groupBy("o_orderkey", "o_custkey", "o_orderstatus", "strand", "start").agg(F.max("end").alias("end")))

@@ -64,6 +64,40 @@ def forget(*tables: DataFrame) -> None:
             _remove(_written.pop(path), path)
 
 
+#: Bytes of input files for which a shuffle has one partition, where the session's number would give each more.
+SPREAD = 8 << 20
+
+
+def spread_of(df: DataFrame) -> int:
+    """Shuffle partitions for what is made of the files that ``df`` reads: the session's number or one for each ``SPREAD`` bytes."""
+    files = {}
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            files[leaf.relation().toString() + (leaf.relation().location().rootPaths().toString() if hasattr(leaf.relation(), "location") else "")] = int(leaf.relation().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(files.values()) // SPREAD))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into ``spread_of`` partitions, so that a task's share does not grow with the input; left as it is
+    where the session has as many. For keys without hot values: what is dealt here, adaptive execution does not split."""
+    n = spread_of(df)
+    return df if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, *keys)
+
+
+@contextmanager
+def shuffled(spark: SparkSession, n: int):
+    """``n`` shuffle partitions or more for what is run inside."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), n)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch():
     """Tables that are written inside are removed at its end; what leaves it must have been materialised."""
