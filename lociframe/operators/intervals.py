@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociframe.session import spread
+
 #: Bases of a sweep's bin.
 BIN = 65_536
 #: Type in which real weights are summed.
@@ -46,7 +48,9 @@ def coverage(ranges: DataFrame, keys: tuple = ("chr",), weight: str | None = Non
         w = w.cast(EXACT)
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), w.alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-w).alias("d"))))
     events = (sound(ranges).select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-              .where("d != 0").withColumn("bin", F.floor(F.col("pos") / F.lit(bin_size)).cast("long")))
+              .where("d != 0").withColumn("bin", F.floor(F.col("pos") / F.lit(bin_size)).cast("long")).where("bin IS NOT NULL AND " + " AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    # both uses of the events are the same down to their shuffle, which is made once; a bin has at most as many of them as it has bases
+    events = spread(events, *keys, "bin")
     bins = events.groupBy(*keys, "bin").agg(F.sum("d").alias("__own"), F.min("pos").alias("__first"))
     whole = Window.partitionBy(*keys).orderBy("bin")
     bins = (bins.withColumn("__before", F.coalesce(F.sum("__own").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -65,8 +69,8 @@ def islands(ranges: DataFrame, gap: int = 0, keys: tuple = ("chr",), bin_size: i
     chain's end: 0 for shared bases only, 1 for adjacent ranges too.
     """
     keys = list(keys)
-    firsts = (sound(ranges).groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count("*").alias("members"))
-              .withColumn("bin", F.floor(F.col("start") / F.lit(bin_size)).cast("long")))
+    firsts = spread(sound(ranges).groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count("*").alias("members"))
+                    .withColumn("bin", F.floor(F.col("start") / F.lit(bin_size)).cast("long")), *keys, "bin")
     own = Window.partitionBy(*keys, "bin").orderBy("start")
     swept = (_carry(firsts, keys, F.col("end"), F.max, "__before")
              .withColumn("__reach", F.greatest("__before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))))
