@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.session import cut
+from lociframe.session import cut, shuffled, spread_of
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -14,9 +14,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates the large-star and small-star contractions until the edge set is
     a forest of stars. Each round is two grouped minima (combined map-side) and
     two equi joins that adaptive execution may split on hot nodes; lineage is
-    cut by a checkpoint after each round. Rows with a null end and loops only
+    cut by a checkpoint after each round. All of it has partitions enough for the
+    input's size. Rows with a null end and loops only
     are dropped; an empty table gives an empty result.
     """
+    with shuffled(edges.sparkSession, spread_of(edges)):
+        return _contracted(edges, src, dst, max_rounds)
+
+
+def _contracted(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     cur = cut(
         edges.select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -49,7 +55,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError("components did not converge")
     members = cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = cur.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return members.unionByName(roots)
+    return cut(members.unionByName(roots))
 
 
 def roots(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
