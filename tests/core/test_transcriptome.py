@@ -94,3 +94,53 @@ def test_consensus_against_brute_force(spark):
         e = x.exons
         got[x.chr, x.strand, tuple((a.end, b.start) for a, b in zip(e, e[1:]))] = [x.support, x.start, x.end]
     assert got == want
+
+
+def test_loci_are_reduced_one_after_the_other_in_a_task(spark):
+    """Many loci in one task, families as by comparing each row with every family before it."""
+    import random
+
+    from lociframe.functions import transcripts as T
+    from lociframe.operators import assembly
+
+    r, data = random.Random(2), []
+    for k in range(150):
+        at, exons = 10_000 * (k // 5 + 1) + r.randrange(40), []
+        for _ in range(r.choice([1, 1, 2, 3])):
+            exons.append((at, at + r.choice([30, 60])))
+            at = exons[-1][1] + r.choice([20, 90])
+        data.append((f"n{k:03}", "g", "c", r.choice("+-"), exons[0][0], exons[-1][1], exons))
+    tx = spark.createDataFrame(data, f"name string, gene_name string, chr string, strand string, start long, end long, exons {T.EXONS}")
+    made = assembly.nonredundant(tx, 20, 1, 1, downsample=0)
+    # a locus is no call of its own
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().analyzed().toString()
+
+    def joins(a, b):
+        j = lambda e: [(e[k][1], e[k + 1][0]) for k in range(len(e) - 1)]
+        near = lambda x, y: abs(x[0] - y[0]) <= 20 and abs(x[1] - y[1]) <= 20
+        if len(a) == 1:
+            return any(s - 20 <= a[0][0] and a[0][1] <= e + 20 for s, e in b)
+        return any(len(a) - 1 <= len(b) - 1 - k and all(near(x, y) for x, y in zip(j(a), j(b)[k:])) for k in range(len(b)))
+
+    want, layouts = [], {}
+    for name, _, _, strand, _, _, exons in data:
+        layouts.setdefault((strand, tuple(exons)), []).append(name)
+    loci: dict = {}
+    for (strand, exons), names in sorted(layouts.items(), key=lambda x: x[0][1]):
+        own = loci.setdefault(strand, [])
+        if own and exons[0][0] <= own[-1][0]:
+            own[-1][1].append((exons, names))
+            own[-1][0] = max(own[-1][0], exons[-1][1])
+        else:
+            own.append([exons[-1][1], [(exons, names)]])
+    for _, rows in (x for own in loci.values() for x in own):
+        families: list = []
+        for exons, names in sorted(rows, key=lambda x: (-len(x[0]), -sum(e - s + 1 for s, e in x[0]), x[0][0][0], min(x[1]))):
+            for f in families:
+                if joins(exons, f[0]):
+                    f[2], f[3] = f[2] + 1, f[3] + len(names)
+                    break
+            else:
+                families.append([exons, min(names), 1, len(names)])
+        want += [(n, m, s) for _, n, m, s in families]
+    assert sorted((x.name, x.members, x.support) for x in made.collect()) == sorted(want) and len(want) < len(layouts)
